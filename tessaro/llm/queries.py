@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table, worker_path
-from . import minhash, packing
+from . import minhash, packing, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -36,3 +36,9 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents with five-word shingle similarity of 0.75 or more."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op3_substring_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of 50-word windows that a document with a smaller id has too are removed."""
+    return substrings.drop_repeats(table(spark, sf_dir, "documents"))
