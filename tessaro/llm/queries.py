@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table, worker_path
-from . import minhash, packing, substrings
+from . import minhash, packing, pii, secrets, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -42,3 +42,15 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of 50-word windows that a document with a smaller id has too are removed."""
     return substrings.drop_repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op5_secret_scan")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents, judged by how many sources share them."""
+    return secrets.scan_secrets(table(spark, sf_dir, "documents")).drop("found", "row")
+
+
+@query("op10_personal_data")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of all documents."""
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
