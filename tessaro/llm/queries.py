@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table, worker_path
-from . import minhash, packing, pii, secrets, substrings
+from . import decontaminate, minhash, packing, pii, quality, secrets, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -54,3 +54,15 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of all documents."""
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
+@query("op6_quality_cascade")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and cascade verdict of all documents."""
+    return quality.assess(table(spark, sf_dir, "documents")).drop("rejected_by")
+
+
+@query("op8_decontaminate")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items, also with other numbers, names or units."""
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
