@@ -189,8 +189,9 @@ def identify(
     holdout: int = 4,
     held: int = 2,
     train_on: DataFrame | None = None,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """doc_id, held_out, lang_pred, score: one row per row of ``docs``.
+    """doc_id, held_out, lang_pred, score, and in_<name> for columns to ``carry``: one row per row of ``docs``.
 
     Learned from ``train_on`` (``docs`` if not given). Texts that are null or
     have no letters are ``und`` with score 0; so is everything if there is
@@ -200,7 +201,9 @@ def identify(
     """
     known = pick(docs if train_on is None else train_on, doc_id=id_col, text=text_col, lang=lang_col)
     net = train(known, train_rows, holdout, held)
-    docs = pick(docs, doc_id=id_col, text=text_col).withColumn("held_out", crc_mod(F.col("doc_id"), holdout) == held)
+    docs = pick(docs, doc_id=id_col, text=text_col, **{f"in_{c}": c for c in carry})
+    extra = [f for f in docs.schema if f.name.startswith("in_")]
+    docs = docs.select("doc_id", "text", (crc_mod(F.col("doc_id"), holdout) == held).alias("held_out"), *(f.name for f in extra))
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,8 +227,10 @@ def identify(
                             k = int(z[i].argmax())
                             lang[i], score[i] = net.langs[k], z[i, k]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(lang, pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"]
+                    [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(lang, pa.string()), pa.array(score), *(c.slice(a, b - a) for c in batch.columns[3:])],
+                    names=["doc_id", "held_out", "lang_pred", "score", *batch.schema.names[3:]],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    more = "".join(f", {f.name} {f.dataType.simpleString()}" for f in extra)
+    return docs.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double{more}")

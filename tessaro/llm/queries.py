@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table, worker_path
-from . import decontaminate, langid, minhash, packing, pii, quality, secrets, substrings, toxicity
+from . import decontaminate, html_extract, langid, minhash, packing, pii, quality, secrets, substrings, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -47,7 +47,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_secret_scan")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of all documents, judged by how many sources share them."""
-    return secrets.scan_secrets(table(spark, sf_dir, "documents")).drop("found", "row")
+    return secrets.scan_secrets(table(spark, sf_dir, "documents")).drop("found", "digest")
 
 
 @query("op10_personal_data")
@@ -78,3 +78,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of all documents."""
     return langid.identify(table(spark, sf_dir, "documents"))
+
+
+@query("op7_html_main_text")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    return html_extract.extract(table(spark, sf_dir, "pages"))

@@ -71,7 +71,7 @@ def opaque_spans(text: str, taken: list[tuple[int, int, str, int]]) -> list[tupl
 
 
 def candidate_table(docs: DataFrame) -> DataFrame:
-    """doc_id, owner, the base columns, and cands: every candidate with its hash."""
+    """doc_id, owner, digest, the base columns, and cands: every candidate with its hash."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.struct([("start", pa.int32()), ("rank", pa.int32()), ("kind", pa.string()), ("end", pa.int32()), ("hash", pa.binary())])
@@ -86,14 +86,14 @@ def candidate_table(docs: DataFrame) -> DataFrame:
                 cands.append([(*x[:4], hashlib.blake2b(x[4].encode(), digest_size=16).digest()) for x in base + opaque_spans(text, places)])
             cands = [[dict(zip(("start", "rank", "kind", "end", "hash"), x)) for x in c] for c in cands]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *(pa.array([c[k] for c in counts], pa.int64()) for k in range(3)), pa.array(shas, pa.string()), pa.array(cands, pa.list_(span))],
-                names=["doc_id", "owner", "n_assign", "n_access", "n_hex", "base_sha256", "cands"],
+                [batch.column(0), batch.column(1), batch.column(3), *(pa.array([c[k] for c in counts], pa.int64()) for k in range(3)), pa.array(shas, pa.string()), pa.array(cands, pa.list_(span))],
+                names=["doc_id", "owner", "digest", "n_assign", "n_access", "n_hex", "base_sha256", "cands"],
             )
 
     kind, own = (docs.schema[c].dataType.simpleString() for c in ("doc_id", "owner"))
     return docs.mapInArrow(
         scan,
-        f"doc_id {kind}, owner {own}, n_assign long, n_access long, n_hex long, base_sha256 string,"
+        f"doc_id {kind}, owner {own}, digest long, n_assign long, n_access long, n_hex long, base_sha256 string,"
         "cands array<struct<start:int,rank:int,kind:string,end:int,hash:binary>>",
     )
 
@@ -104,11 +104,13 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Returns doc_id, n_assign, n_access, n_hex, base_sha256, spans (``kind:start:end``
     in code points, comma-joined), found (the spans as an array), n_copied and
     n_live: how many of the base spans hold a value of ``copied`` or more owners,
-    or of fewer. Null and empty texts have no spans. Rows with a null owner count
+    or of fewer; digest, the xxhash64 of the text, which with doc_id leads back to
+    the row. Null and empty texts have no spans. Rows with a null owner count
     as one owner together. Repeated rows are scanned like others. An empty table
     gives no rows; other columns of ``docs`` are not looked at.
     """
-    rows = candidate_table(pick(docs, doc_id=id_col, owner=owner_col, text=text_col)).withColumn("row", F.monotonically_increasing_id())
+    texts = pick(docs, doc_id=id_col, owner=owner_col, text=text_col).withColumn("digest", F.xxhash64("text"))
+    rows = candidate_table(texts).withColumn("row", F.monotonically_increasing_id())
     rows = materialise(rows, "candidates")
     each = rows.where(F.size("cands") > 0).select("row", "owner", F.explode("cands").alias("c")).select("row", "owner", "c.*")
     by_owner = each.groupBy("hash", "owner").agg(F.count("*").alias("n"))
@@ -125,5 +127,5 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     out = out.withColumn("found", F.coalesce(F.array_sort("found"), F.array().cast(f"array<{sp.SPAN}>")))
     return out.select(
         "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", sp.joined(F.col("found")).alias("spans"), "found",
-        F.coalesce("n_copied", none).alias("n_copied"), F.coalesce("n_live", none).alias("n_live"), "row",
+        F.coalesce("n_copied", none).alias("n_copied"), F.coalesce("n_live", none).alias("n_live"), "digest",
     )
