@@ -38,3 +38,14 @@ def worker_path(spark: SparkSession) -> None:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table ``name`` below ``sf_dir`` (any path that Spark can read)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ensure_checkpoint(spark: SparkSession) -> None:
+    """A checkpoint folder for iterative operators: the configured one, else a temporary one (tests)."""
+    if not spark.sparkContext.getCheckpointDir():
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if not where:
+            import tempfile
+
+            where = tempfile.mkdtemp(prefix="tessaro-ckpt-")
+        spark.sparkContext.setCheckpointDir(where)
