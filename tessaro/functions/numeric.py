@@ -73,8 +73,8 @@ def pct_to_absolute(pct: Column, population: Column) -> Column:
     return pct * population / 100
 
 
-def index_to_absolute(per_thousand: Column, population: Column) -> Column:
-    return F.round(per_thousand * population / 1000, 2)
+def index_to_absolute(per_thousand: Column, population: Column, decimals: int = 2) -> Column:
+    return F.round(per_thousand * population / 1000, decimals)
 
 
 def impute_censored(value: Column, keys: list[Column], mark: str = "..", top: int = 5) -> Column:

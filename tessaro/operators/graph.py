@@ -11,6 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Edges up to which a graph is worked on in one process (a few hundred MB).
+LOCAL_EDGES = 1_000_000
+#: Edges that labels travel between two checkpoints.
+HOPS = 4
+
+
 def connectivity(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, in_degree, out_degree, category): none, only_in, only_out or both."""
     o = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("out_degree"))
@@ -41,22 +47,81 @@ def _reach(nodes: DataFrame, edges: DataFrame, rounds: int, forward: bool) -> Da
     a, b = ("src", "dst") if forward else ("dst", "src")
     hop = edges.select(F.col(a).alias("from"), F.col(b).alias("node")).distinct()
     labels = nodes.select("node", F.col("node").alias("label"))
+    hop = hop.persist()
     for _ in range(rounds):
-        sent = hop.join(labels.withColumnRenamed("node", "from"), "from").select("node", "label")
-        new = labels.unionByName(sent).groupBy("node").agg(F.min("label").alias("label")).checkpoint()
-        if new.join(labels.withColumnRenamed("label", "_l"), "node").where("label <> _l").isEmpty():
-            return new
-        labels = new
+        new = labels.select("node", "label", F.col("label").alias("was"))
+        for _ in range(HOPS):
+            sent = hop.join(new.select(F.col("node").alias("from"), "label"), "from").select("node", "label", F.lit(None).cast("long").alias("was"))
+            new = new.unionByName(sent).groupBy("node").agg(F.min("label").alias("label"), F.max("was").alias("was"))
+        new = new.checkpoint()
+        labels = new.select("node", "label")
+        if new.where("label <> was").isEmpty():
+            break
+    hop.unpersist()
     return labels
 
 
-def strong_components(nodes: DataFrame, edges: DataFrame, rounds: int = 1000) -> DataFrame:
+def _small(edges: DataFrame) -> bool:
+    """Whether a graph may go to one process: at most ``LOCAL_EDGES`` edges."""
+    return edges.limit(LOCAL_EDGES + 1).count() <= LOCAL_EDGES
+
+
+def _adjacency(edges: DataFrame) -> dict:
+    """source -> [(target, smallest weight)]; for graphs that are :func:`_small`."""
+    adj: dict = defaultdict(list)
+    for r in edges.groupBy("src", "dst").agg(F.min("weight").cast("double").alias("w")).collect():
+        adj[r["src"]].append((r["dst"], r["w"]))
+    return dict(adj)
+
+
+def _tarjan(vertices: list, adj: dict) -> dict:
+    """vertex -> smallest vertex of its strongly connected component, without recursion."""
+    index, low, stack, inside, out = {}, {}, [], set(), {}
+    for root in vertices:
+        if root in index:
+            continue
+        todo = [(root, iter(adj.get(root, ())))]
+        index[root] = low[root] = len(index)
+        stack.append(root)
+        inside.add(root)
+        while todo:
+            v, rest = todo[-1]
+            for w, _ in rest:
+                if w not in index:
+                    index[w] = low[w] = len(index)
+                    stack.append(w)
+                    inside.add(w)
+                    todo.append((w, iter(adj.get(w, ()))))
+                    break
+                if w in inside:
+                    low[v] = min(low[v], index[w])
+            else:
+                todo.pop()
+                if todo:
+                    low[todo[-1][0]] = min(low[todo[-1][0]], low[v])
+                if low[v] == index[v]:
+                    part = []
+                    while not part or part[-1] != v:
+                        part.append(stack.pop())
+                        inside.discard(part[-1])
+                    out.update(dict.fromkeys(part, min(part)))
+    return out
+
+
+def strong_components(nodes: DataFrame, edges: DataFrame, rounds: int = 1000, local: bool | None = None) -> DataFrame:
     """(node, component): strongly connected components, named by their smallest node.
 
+    A small graph is one linear pass on the driver; beyond that (or with
+    ``local=False``) the work stays distributed:
     Forward and backward minima; nodes with the same pair of minima where both
     are the same node are a component, and the others go round again. Needs a
     checkpoint folder.
     """
+    if local or (local is None and _small(edges)):
+        e = edges if "weight" in edges.columns else edges.withColumn("weight", F.lit(1.0))
+        vertices = sorted(r[0] for r in nodes.select("node").distinct().limit(2 * LOCAL_EDGES).collect())
+        found = _tarjan(vertices, _adjacency(e))
+        return nodes.sparkSession.createDataFrame([(v, found[v]) for v in vertices], "node long, component long")
     done, rest = None, nodes.select("node")
     while True:
         inner = edges.join(rest.withColumnRenamed("node", "src"), "src", "left_semi").join(rest.withColumnRenamed("node", "dst"), "dst", "left_semi")
@@ -78,13 +143,44 @@ def join_components(edges: DataFrame, components: DataFrame) -> DataFrame:
     return edges.select("src", "dst", "weight", F.lit(False).alias("reversed")).unionByName(back.withColumn("reversed", F.lit(True)))
 
 
-def shortest_paths(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None = None, cutoff: float | None = None, rounds: int = 1000) -> DataFrame:
+def _dijkstra(adj: dict, source, cutoff: float | None) -> list[tuple]:
+    """(target, distance, path) from a source; of paths of equal length the smallest in node order."""
+    best, done, heap = {source: 0.0}, [], [(0.0, [source])]
+    seen = set()
+    while heap:
+        d, path = heapq.heappop(heap)
+        v = path[-1]
+        if v in seen:
+            continue
+        seen.add(v)
+        done.append((v, d, path))
+        for w, c in adj.get(v, ()):
+            if w not in seen and (cutoff is None or d + c <= cutoff) and d + c <= best.get(w, float("inf")):
+                best[w] = d + c
+                heapq.heappush(heap, (d + c, [*path, w]))
+    return done
+
+
+def shortest_paths(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None = None, cutoff: float | None = None, rounds: int = 1000, local: bool | None = None) -> DataFrame:
     """(src, dst, d, path): shortest paths from the sources (all nodes if not given), up to ``cutoff``.
 
+    A small graph is broadcast and the sources are spread over the tasks, each
+    with Dijkstra's algorithm. Beyond that (or with ``local=False``):
     Min-plus relaxation: each round extends only the paths that improved in the
     last one. With a cutoff the result holds near pairs alone, which is what
     feasibility needs on a large graph. Needs a checkpoint folder.
     """
+    if local or (local is None and _small(edges)):
+        kind = nodes.schema["node"].dataType.simpleString()
+        graph = nodes.sparkSession.sparkContext.broadcast(_adjacency(edges))
+
+        def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for s in pdf["node"].tolist():
+                    yield pd.DataFrame([(s, *r) for r in _dijkstra(graph.value, s, cutoff)], columns=["src", "dst", "d", "path"])
+
+        start = (sources if sources is not None else nodes).select("node").distinct()
+        return start.mapInPandas(search, f"src {kind}, dst {kind}, d double, path array<{kind}>")
     short = edges.groupBy("src", "dst").agg(F.min("weight").cast("double").alias("w"))
     start = (sources if sources is not None else nodes).select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(0.0).alias("d"), F.array("node").alias("path"))
     dist = front = start.checkpoint()
@@ -130,11 +226,9 @@ def centralities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     The graph itself must fit a task; the sources are spread over all tasks and
     their shares of betweenness are summed by Spark.
     """
-    # Edges of one street network; the size is checked by the caller's choice of this operator over ``shortest_paths``.
-    adj: dict = defaultdict(list)
-    for r in edges.groupBy("src", "dst").agg(F.min("weight").cast("double").alias("w")).toLocalIterator():
-        adj[r["src"]].append((r["dst"], r["w"]))
-    graph = nodes.sparkSession.sparkContext.broadcast(dict(adj))
+    if not _small(edges):
+        raise ValueError(f"more than {LOCAL_EDGES} edges: cut the network first")
+    graph = nodes.sparkSession.sparkContext.broadcast(_adjacency(edges))
     n = nodes.count()
 
     def brandes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

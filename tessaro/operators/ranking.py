@@ -31,6 +31,30 @@ def value_ranks(df: DataFrame, column: str, ranges: int = RANGES) -> DataFrame:
     return out.select("v", "ties", (F.col("before") + F.col("inside")).alias("below"), "total")
 
 
+def percentile_scores(df: DataFrame, key: str, specs: list[tuple[str, str, bool]], ranges: int = RANGES) -> DataFrame:
+    """:func:`percentile_score` of many columns (column, name, higher is better) at once.
+
+    All columns are ranked in long form, so one aggregate and one join serve
+    them all however many there are. ``key`` is unique.
+    """
+    pair = F.array(*[F.struct(F.lit(n).alias("name"), F.col(c).cast("double").alias("v")) for c, n, _ in specs])
+    long = df.select(key, F.inline(pair)).where("v is not null and not isnan(v)")
+    probs = [i / ranges for i in range(1, ranges)]
+    quantiles = df.select(*[F.col(c).cast("double").alias(n) for c, n, _ in specs]).approxQuantile([n for _, n, _ in specs], probs, 0.01) if ranges > 1 else [[]] * len(specs)
+    edges = F.create_map(*[x for (_, n, _), q in zip(specs, quantiles) for x in (F.lit(n), F.array(*map(F.lit, sorted(set(q)))) if q else F.array().cast("array<double>"))])
+    counts = long.groupBy("name", "v").agg(F.count("*").alias("ties"))
+    counts = counts.withColumn("part", F.size(F.filter(edges[F.col("name")], lambda e: e < F.col("v"))))
+    parts = counts.groupBy("name", "part").agg(F.sum("ties").alias("n"))  # at most ``ranges`` rows per column
+    w = Window.partitionBy("name")
+    parts = parts.select("name", "part", F.coalesce(F.sum("n").over(w.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("n").over(w).alias("total"))
+    inside = Window.partitionBy("name", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    r = counts.withColumn("inside", F.coalesce(F.sum("ties").over(inside), F.lit(0))).join(parts, ["name", "part"])
+    mid = F.when(F.col("total") == 1, 1.0).otherwise((F.col("before") + F.col("inside") + (F.col("ties") - 1) / 2) / (F.col("total") - 1))
+    got = long.join(r.select("name", "v", mid.alias("s"), (F.col("total") == 1).alias("one")), ["name", "v"])
+    pick = [F.max(F.when(F.col("name") == n, F.col("s") if up else F.when(F.col("one"), 1.0).otherwise(F.lit(1.0) - F.col("s")))).alias(n) for _, n, up in specs]
+    return df.join(got.groupBy(key).agg(*pick), key, "left")
+
+
 def percentile_score(df: DataFrame, column: str, name: str, higher_is_better: bool = True, ranges: int = RANGES) -> DataFrame:
     """(average rank - 1) / (n - 1) as 0 to 1 among values that are not null; a single value is 1."""
     r = value_ranks(df, column, ranges)
@@ -47,6 +71,14 @@ def competition_rank(df: DataFrame, column: str, name: str, ranges: int = RANGES
     return df.join(r, F.col(column).cast("double") == F.col("_v"), "left").drop("_v")
 
 
+def rank_and_percentile(df: DataFrame, column: str, rank: str, percentile: str, ranges: int = RANGES) -> DataFrame:
+    """:func:`competition_rank` and :func:`percentile_score` of one column from the same counts."""
+    r = value_ranks(df, column, ranges)
+    mid = F.when(F.col("total") == 1, 1.0).otherwise((F.col("below") + (F.col("ties") - 1) / 2) / (F.col("total") - 1))
+    r = r.select(F.col("v").alias("_v"), (F.col("total") - F.col("below") - F.col("ties") + 1).alias(rank), mid.alias(percentile))
+    return df.join(r, F.col(column).cast("double") == F.col("_v"), "left").drop("_v")
+
+
 def mid_rank(df: DataFrame, column: str, name: str, ranges: int = RANGES) -> DataFrame:
     """The average rank of ties, from 1."""
     r = value_ranks(df, column, ranges).select(F.col("v").alias("_v"), (F.col("below") + (F.col("ties") + 1) / 2).alias(name))

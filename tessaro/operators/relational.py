@@ -84,7 +84,7 @@ def key_difference(left: DataFrame, right: DataFrame, key_l: str, key_r: str) ->
     a = left.select(F.col(key_l).alias("k")).distinct().withColumn("a", F.lit(1))
     b = right.select(F.col(key_r).alias("k")).distinct().withColumn("b", F.lit(1))
     both = a.join(b, "k", "full")
-    return both.agg(F.count_if("b is null").alias("only_left"), F.count_if("a is null").alias("only_right"), F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("common"))
+    return both.agg(F.count_if(F.col("b").isNull()).alias("only_left"), F.count_if(F.col("a").isNull()).alias("only_right"), F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("common"))
 
 
 def pairwise_overlap(df: DataFrame, group: str, key: str) -> DataFrame:

@@ -40,22 +40,31 @@ def aggregate_within(points: DataFrame, features: DataFrame, radius: float, aggs
     return points.select("id").join(got, "id", "left").fillna(0, list(zero))
 
 
-def nearest(points: DataFrame, features: DataFrame, size: float, rounds: int = 8, exclude_self: bool = False) -> DataFrame:
+def nearest(points: DataFrame, features: DataFrame, size: float, exclude_self: bool = False) -> DataFrame:
     """(id, fid, dist) of the nearest feature, the smallest fid among equals; null without features.
 
-    Rings of doubling size: a match within ``size`` of the ring is final, the
-    rest go on to the next round; whoever is left after ``rounds`` is compared with
-    one minimum per cell of the last size. Each round is an equi-join.
+    Rounds of growing radius: a match within the radius is final, the rest goes
+    on. Each round is an equi-join on cells and ends in a checkpoint; few points
+    see more than one. The radius stops growing when it spans both tables.
     """
-    rest, found = points.select("id", "x", "y"), None
-    for k in range(rounds):
-        r = size * 2**k
+    ends = lambda df, x, y: df.agg(*[f(c) for c in (x, y) for f in (F.min, F.max)]).first()
+    p, f = ends(points, "x", "y"), ends(features, "fx", "fy")
+    if f[0] is None or p[0] is None:
+        return points.select("id", F.lit(None).cast(features.schema["fid"].dataType).alias("fid"), F.lit(None).cast("double").alias("dist"))
+    span = max(max(p[1], f[1]) - min(p[0], f[0]), max(p[3], f[3]) - min(p[2], f[2])) * 1.5 + size
+    rest, found, r = points.select("id", "x", "y"), None, float(size)
+    while True:
         pairs = within_radius(rest, features.select("fid", "fx", "fy"), r)
         if exclude_self:
             pairs = pairs.where("id <> fid")
-        best = pairs.groupBy("id").agg(F.min(F.struct("dist", "fid")).alias("b")).select("id", "b.fid", "b.dist")
-        found = best if found is None else found.unionByName(best)
-        rest = rest.join(best.select("id"), "id", "left_anti")
+        best = pairs.groupBy("id").agg(F.min(F.struct("dist", "fid")).alias("b"))
+        got = rest.join(best, "id", "left").select("id", "x", "y", "b.fid", "b.dist").checkpoint()
+        done = got.where("dist is not null").select("id", "fid", "dist")
+        found = done if found is None else found.unionByName(done)
+        rest = got.where("dist is null").select("id", "x", "y")
+        if r > span or rest.isEmpty():
+            break
+        r *= 3
     return points.select("id").join(found, "id", "left")
 
 
