@@ -123,16 +123,18 @@ def signature_table(docs: DataFrame, k: int) -> DataFrame:
 
 
 def set_table(docs: DataFrame, k: int) -> DataFrame:
-    """key and items (the sorted set as bytes) of (text)."""
+    """key, items (the sorted set as bytes) and high (the upper halves of its items) of (text)."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, data, offs in tb.chunks(batch.column(0)):
                 x, first = shingle_sets(data, offs, k)
-                items = [x[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(identities(x, first), pa.binary()), pa.array(items, pa.binary())], names=["key", "items"])
+                half = (x >> np.uint64(32)).astype(np.uint32)
+                items, high = ([v[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist())] for v in (x, half))
+                cols = (identities(x, first), items, high)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in cols], names=["key", "items", "high"])
 
-    return docs.mapInArrow(build, "key binary, items binary")
+    return docs.mapInArrow(build, "key binary, items binary, high binary")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -172,12 +174,22 @@ def similar(pairs: DataFrame, sigs: DataFrame, least: int) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(check, "a binary, b binary")
 
 
-def block_pairs(members: DataFrame, vertices: DataFrame, labels: DataFrame, least: int) -> DataFrame:
-    """Similar pairs (a, b) of the same bucket but different components, each pair once.
+def common(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many items of each of ``others`` the sorted array ``one`` has."""
+    every = np.concatenate(others)
+    at = np.minimum(np.searchsorted(one, every), len(one) - 1)
+    run = np.concatenate([[0], np.cumsum(one[at] == every)])
+    ends = np.cumsum([len(x) for x in others])
+    return run[ends] - run[ends - [len(x) for x in others]]
 
-    members: (band, key), all of each bucket. A pair comes from the first band
-    that both share. Buckets are dealt in blocks, and each unit of work is a
-    pair of blocks.
+
+def block_pairs(members: DataFrame, vertices: DataFrame, sets: DataFrame, labels: DataFrame, least: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of the same bucket but different components that are links by the halves of their items.
+
+    members: (band, key), all of each bucket. A pair is looked at in the first
+    band that both share. Buckets are dealt in blocks, and each unit of work is
+    a pair of blocks; pairs that are no links never leave it. Equal items have
+    equal halves, so no link is missed.
     """
     known = members.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     open_ = known.groupBy("band").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band", F.ceil(F.col("n") / BLOCK).alias("blocks"))
@@ -187,6 +199,7 @@ def block_pairs(members: DataFrame, vertices: DataFrame, labels: DataFrame, leas
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("second"), "key", "label")
         .join(vertices, "key")
+        .join(sets.select("key", "high"), "key")
     )
     rows = materialise(rows, "blocks")
     tasks = max(1, -(-rows.count() // PER_TASK))
@@ -198,13 +211,19 @@ def block_pairs(members: DataFrame, vertices: DataFrame, labels: DataFrame, leas
             bands = np.stack(g["bands"].to_numpy())
             at = (bands == band).argmax(1)[0]
             label, key = pd.factorize(g["label"])[0], g["key"].to_numpy()
+            high = [np.frombuffer(h, np.uint32) for h in g["high"]]
+            size = np.array([len(h) for h in high])
             left = np.arange(len(g)) if i == j else np.flatnonzero(~g["second"].to_numpy())
             right = left if i == j else np.flatnonzero(g["second"].to_numpy())
             for x in left.tolist():
                 y = right[(label[right] != label[x]) & ((key[right] > key[x]) | (i != j))]
                 y = y[(sig[y] == sig[x]).sum(1) >= least]
                 y = y[~(bands[y, :at] == bands[x, :at]).any(1)]
-                out += ((key[x], key[z]) for z in y.tolist())
+                y = y[100 * np.minimum(size[y], size[x]) >= percent * np.maximum(size[y], size[x])]
+                if len(y):
+                    both = common(high[x], [high[z] for z in y.tolist()])
+                    y = y[100 * both >= percent * (size[y] + size[x] - both)]
+                    out += ((key[x], key[z]) for z in y.tolist())
         return pd.DataFrame(out, columns=["a", "b"])
 
     dealt = rows.withColumn("task", F.pmod(F.xxhash64("band", "i", "j"), F.lit(tasks)))
@@ -242,7 +261,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sigs = vertices.select("key", "sig")
     star = members.where("key <> leader").select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct()
     first = materialise(confirm(similar(star, sigs, least), sets, percent), "links")
-    rest = block_pairs(members.select("band", "key"), vertices, components(first), least)
+    rest = block_pairs(members.select("band", "key"), vertices, sets, components(first), least, percent)
     second = materialise(confirm(rest, sets, percent), "links")
     labels = components(first.unionByName(second))
 
