@@ -61,11 +61,11 @@ def read_many(spark: SparkSession, paths: list[str], key: str) -> DataFrame:
 
 def read_px(spark: SparkSession, path: str, encoding: str = "ISO-8859-15") -> DataFrame:
     """A PC-Axis file as a long table: one column per heading, then value (null for marks such as "..")."""
-    rows = spark.read.option("encoding", encoding).option("wholetext", True).text(path).first()
+    rows = spark.read.format("binaryFile").load(path).select("content").first()
     import itertools
     import re
 
-    text = rows[0]
+    text = bytes(rows[0]).decode(encoding)
     fields = {m[1].strip(): m[2] for m in re.finditer(r'^([A-Z-]+(?:\("[^"]*"\))?)=(.*?);\s*$', text, re.S | re.M)}
     names = [x for k in ("STUB", "HEADING") if k in fields for x in re.findall(r'"([^"]*)"', fields[k])]
     values = [re.findall(r'"([^"]*)"', fields[f'VALUES("{n}")']) for n in names]
