@@ -15,7 +15,6 @@ the scan as hashes only, and only the distinct ones of each document.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textbytes as tb
 from .storage import materialise
 from .tables import pick
-from .textbytes import mix
 
 WINDOW = 5
 #: Share of an item's windows that a leak holds.
@@ -33,8 +32,7 @@ SHARE = 0.75
 #: Distinct template windows of the benchmark up to which they go to every task (8 bytes each).
 BROADCAST_WINDOWS = 4_000_000
 
-TOKEN = re.compile(r"\d+(?:[.,:]\d+)*|[^\W\d_]+(?:['’][^\W\d_]+)?")
-NUMBER, NAME, UNIT = "<num>", "<name>", "<unit>"
+NUMBER, NAME, UNIT = (np.uint64(x) for x in (0x6E756D, 0x6E616D65, 0x756E6974))
 
 # Words that count as units.
 UNITS = frozenset(
@@ -43,89 +41,131 @@ UNITS = frozenset(
     "dollar dollars euro euros cent cents pound pounds percent degrees".split()
 )
 
+# Byte classes: 1 digits, 2 letters (every byte of a code point beyond ASCII counts as one), 0 the rest.
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[48:58] = 1
+_CLASS[65:91] = _CLASS[97:123] = _CLASS[128:] = 2
+_SEPARATOR = np.zeros(256, bool)
+_SEPARATOR[list(b".,:")] = True
 
-def template(text: str) -> tuple[list[str], list[str]]:
-    """(template tokens, original tokens in lower case) of a text.
 
-    A number is a slot; so is a unit that follows a number; so is a capitalised
-    word inside a sentence that nowhere in the text stands in lower case.
+def _hash_words(words: list[str]) -> np.ndarray:
+    """The hashes that :class:`Templates` gives to words of letters."""
+    return np.array([int(Templates(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())])).plain[0]) for w in words], np.uint64)
+
+
+class Templates:
+    """The template tokens of a chunk of documents, all at once.
+
+    A token is a run of letters (with apostrophes inside) or a number (with
+    points, commas or colons inside); letters are compared in lower case. A
+    number is a slot; so is a unit after a number; so is a capitalised word
+    that follows one space and nowhere in its document stands in lower case.
+
+    plain: the tokens' hashes; token: the same with slots as placeholders;
+    doc, start, end; first: n + 1 offsets of the documents' tokens.
     """
-    found = [(m[0], m.start()) for m in TOKEN.finditer(text)]
-    plain = {t for t, _ in found if t.islower()}
-    out, was = [], []
-    for i, (t, at) in enumerate(found):
-        low = t.lower()
-        was.append(low)
-        if t[0].isdigit():
-            out.append(NUMBER)
-        elif low in UNITS and out and out[-1] == NUMBER:
-            out.append(UNIT)
-        elif len(t) > 1 and t[0].isupper() and t[1:].islower() and i and low not in plain and text[found[i - 1][1] + len(found[i - 1][0]) : at] == " ":
-            out.append(NAME)
-        else:
-            out.append(low)
-    return out, was
-
-
-_SEEN: dict[str, int] = {}
-
-
-def token_hash(token: str) -> int:
-    import hashlib
-
-    h = _SEEN.get(token)
-    if h is None:
-        h = int.from_bytes(hashlib.blake2b(token.encode(), digest_size=8).digest(), "little")
-        if len(_SEEN) > 500_000:
-            _SEEN.clear()
-        _SEEN[token] = h
-    return h
-
-
-def windows(tokens: list[str], k: int = WINDOW) -> np.ndarray:
-    """The hashes of the ``k``-token windows in order; a shorter text is one window."""
-    h = np.fromiter((token_hash(t) for t in tokens), np.uint64, len(tokens))
-    k = min(k, len(h))
-    if not k:
-        return h
-    out = np.zeros(len(h) - k + 1, np.uint64)
-    for i in range(k):
-        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - k + 1 + i])
-    return out
-
-
-def slots(tokens: list[str], was: list[str], k: int = WINDOW) -> list[str]:
-    """The slot values of each window, joined; empty where a window has no slot."""
-    k = min(k, len(tokens))
-    filled = [w if t in (NUMBER, NAME, UNIT) else "" for t, w in zip(tokens, was)]
-    return ["\x1f".join(x for x in filled[i : i + k] if x) for i in range(len(tokens) - k + 1)] if k else []
+
+    def __init__(self, data: np.ndarray, offs: np.ndarray, units: np.ndarray | None = None):
+        self.data, self.offs = data, offs
+        n = len(data)
+        kind = _CLASS[data]
+        low = tb.LOWER[data]
+        if n > 1:
+            lead = data[:-1]
+            capital = np.zeros(n, bool)  # the capitals of Latin-1 after their lead byte
+            capital[1:] = (lead == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
+            low = np.where(capital, low + 0x20, low)
+            mark = np.flatnonzero(lead == 0xC2)  # Latin-1 punctuation, and the general punctuation block
+            kind[mark] = kind[mark + 1] = 0
+            mark = np.flatnonzero((lead == 0xE2) & (data[1:] == 0x80))
+            kind[mark] = kind[mark + 1] = kind[np.minimum(mark + 2, n - 1)] = 0
+            inner = np.arange(1, n - 1)
+            inner = inner[(kind[:-2] == kind[2:]) & (kind[:-2] > 0) & (kind[1:-1] == 0)]
+            edge_free = ~np.isin(inner, offs) & ~np.isin(inner + 1, offs)
+            inner = inner[edge_free]
+            kind[inner[_SEPARATOR[data[inner]] & (kind[inner - 1] == 1)]] = 1
+            kind[inner[(data[inner] == 39) & (kind[inner - 1] == 2)]] = 2
+        edge = np.zeros(n + 1, bool)
+        edge[offs] = True
+        before, after = np.zeros(n, np.uint8), np.zeros(n, np.uint8)
+        before[1:], after[:-1] = kind[:-1], kind[1:]
+        self.start = np.flatnonzero((kind > 0) & ((before != kind) | edge[:-1]))
+        self.end = np.flatnonzero((kind > 0) & ((after != kind) | edge[1:])) + 1
+        self.first = np.searchsorted(self.start, offs)
+        self.doc = np.repeat(np.arange(len(offs) - 1), np.diff(self.first))
+        up, down = tb.powers(n + 1, tb.BASES[0])
+        run = np.zeros(n + 1, np.uint64)
+        np.cumsum(tb._BYTE[low] * up[:n], out=run[1:])
+        h = tb.mix((run[self.end] - run[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64))
+        self.plain = h
+        self.slot = np.zeros(len(h), bool)
+        self.token = h
+        if units is None or not len(h):
+            return
+        number = kind[self.start] == 1
+        unit = np.zeros(len(h), bool)
+        unit[1:] = number[:-1] & (self.doc[1:] == self.doc[:-1])
+        unit[unit] = np.isin(h[unit], units)
+        changed = np.concatenate([[0], np.cumsum(low != data)])
+        n_caps = changed[self.end] - changed[self.start]
+        wide = (data[self.start] == 0xC3).astype(np.int64)
+        first_cap = changed[np.minimum(self.start + 1 + wide, n)] - changed[self.start]
+        name = (n_caps == 1) & (first_cap == 1) & (self.end - self.start > 1) & ~number
+        name[0] = False
+        name[1:] &= (self.doc[1:] == self.doc[:-1]) & (self.start[1:] - self.end[:-1] == 1) & (data[np.maximum(self.start[1:] - 1, 0)] == 0x20)
+        salt = tb.mix(self.doc.astype(np.uint64) + np.uint64(1))
+        some = np.flatnonzero(name)
+        name[some] = ~np.isin((h ^ salt)[some], (h ^ salt)[(n_caps == 0) & ~number])
+        self.slot = number | unit | name
+        self.token = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, h)))
+
+    def windows(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, first token, tokens) of the ``k``-token windows; a shorter text is one window."""
+        size = np.diff(self.first)
+        k_of = np.minimum(size, k)
+        at = np.flatnonzero(np.arange(len(self.token)) + k_of[self.doc] <= self.first[1:][self.doc])
+        width = k_of[self.doc[at]]
+        out = np.zeros(len(at), np.uint64)
+        for i in range(k):
+            live = width > i
+            out = np.where(live, tb.mix(out * np.uint64(0x9E3779B97F4A7C15) + self.token[np.minimum(at + i, len(self.token) - 1)]), out)
+        return out, at, width
+
+    def slots(self, a: int, k: int) -> str:
+        """The slot values of a window, joined; empty where it has none."""
+        return "\x1f".join(self.data[self.start[i] : self.end[i]].tobytes().decode().lower() for i in range(a, a + k) if self.slot[i])
 
 
 def window_table(texts: DataFrame, known=None) -> DataFrame:
     """id, n_windows, hash, slot: the distinct template windows of (id, text), of the known hashes only if given."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units = _hash_words(sorted(UNITS))
         for batch in batches:
-            rows, total, hashes, filled = [], [], [], []
-            for i, text in enumerate(batch.column(1)):
-                tokens, was = template(text.as_py() or "")
-                h = windows(tokens)
-                at = np.unique(h, return_index=True)[1]
-                n = len(at)
-                if known is not None:
-                    at = at[np.isin(h[at], known.value)]
-                if not len(at):
-                    continue
-                s = slots(tokens, was)
-                rows += [i] * len(at)
-                total += [n] * len(at)
-                hashes.append(h[at])
-                filled += [s[j] for j in at.tolist()]
-            all_h = np.concatenate(hashes).view(np.int64) if hashes else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(total, pa.int64()), pa.array(all_h), pa.array(filled, pa.string())],
-                names=["id", "n_windows", "hash", "slot"],
-            )
+            for a, b, data, offs in tb.chunks(batch.column(1)):
+                t = Templates(data, offs, units)
+                h, at, width = t.windows(WINDOW)
+                doc = t.doc[at]
+                order = np.lexsort((at, h, doc)) if known is None else None
+                if order is None:
+                    total = np.bincount(doc, minlength=b - a)  # only the items' own counts are used
+                    hit = np.isin(h, known.value)
+                    h, at, width, doc = h[hit], at[hit], width[hit], doc[hit]
+                    order = np.lexsort((at, h, doc))
+                h, at, width, doc = h[order], at[order], width[order], doc[order]
+                new = np.ones(len(h), bool)
+                new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+                h, at, width, doc = h[new], at[new], width[new], doc[new]
+                if known is None:
+                    total = np.bincount(doc, minlength=b - a)
+                slot_run = np.concatenate([[0], np.cumsum(t.slot)])
+                has = slot_run[at + width] > slot_run[at]
+                filled = [t.slots(x, k) if y else "" for x, k, y in zip(at.tolist(), width.tolist(), has.tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(a + doc)), pa.array(total[doc], pa.int64()), pa.array(h.view(np.int64)), pa.array(filled, pa.string())],
+                    names=["id", "n_windows", "hash", "slot"],
+                )
 
     kind = texts.schema["id"].dataType.simpleString()
     return texts.mapInArrow(scan, f"id {kind}, n_windows long, hash long, slot string")
