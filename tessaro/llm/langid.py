@@ -147,27 +147,33 @@ def train(docs: DataFrame, train_rows: int = TRAIN_ROWS, holdout: int = 4, held:
     if no row has a language.
     """
     known = docs.where("lang is not null and text is not null and doc_id is not null").where(crc_mod(F.col("doc_id"), holdout) != held)
-    langs = [r[0] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    langs = sorted(r["lang"] for r in counts)
     if not langs:
         return None
+    # One pass for all languages: of each the rows below a hash that leaves a few more than are taken.
+    h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    enough = train_rows + 6 * train_rows**0.5 + 20
+    below = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1 << 40, int((1 << 40) * enough / r["n"]) + 1))])
+    pieces = [F.substring("text", (1 + F.pmod(F.shiftright(h, 7 * i), F.greatest(F.lit(1), F.length("text") - WINDOW))).cast("int"), WINDOW) for i in range(3)]
+    some = known.where(h < below[F.col("lang")]).select("lang", h.alias("h"), "doc_id", *(p.alias(f"p{i}") for i, p in enumerate(pieces))).dropDuplicates(["lang", "doc_id"])
     rng = np.random.default_rng(seed)
-    xs, ys = [], []
-    for k, lang in enumerate(langs):
-        h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
-        pieces = [F.substring("text", (1 + F.pmod(F.shiftright(h, 7 * i), F.greatest(F.lit(1), F.length("text") - WINDOW))).cast("int"), WINDOW) for i in range(3)]
-        rows = known.where(F.col("lang") == lang).select(h.alias("h"), "doc_id", *(p.alias(f"p{i}") for i, p in enumerate(pieces))).orderBy("h", "doc_id").limit(train_rows).collect()
-        for r in rows:
-            for i in range(3):
-                raw = np.frombuffer(r[f"p{i}"].encode(), np.uint8)[:WINDOW]
-                if i == 2:  # short texts exist as well
-                    raw = raw[: int(rng.integers(6, 80))]
-                row = np.zeros(WINDOW, np.uint8)
-                row[: len(raw)] = tb.LOWER[raw]
-                xs.append(row)
-                ys.append(k)
+    xs, ys, taken = [], [], [0] * len(langs)
+    for r in sorted(some.collect(), key=lambda r: (r["h"], r["doc_id"])):
+        k = langs.index(r["lang"])
+        if taken[k] >= train_rows:
+            continue
+        taken[k] += 1
+        for i in range(3):
+            raw = np.frombuffer(r[f"p{i}"].encode(), np.uint8)[:WINDOW]
+            if i == 2:  # short texts exist as well
+                raw = raw[: int(rng.integers(6, 80))]
+            row = np.zeros(WINDOW, np.uint8)
+            row[: len(raw)] = tb.LOWER[raw]
+            xs.append(row)
+            ys.append(k)
     x, y = np.array(xs), np.array(ys)
-    net = Network(sorted(langs), seed)
-    y = np.array([net.langs.index(lang) for lang in langs])[y]
+    net = Network(langs, seed)
     adam: dict = {}
     t = 0
     per_epoch = min(len(x), 12_000)

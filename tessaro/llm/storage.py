@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
+_WRITTEN: list[tuple[SparkSession, str]] = []
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -30,6 +32,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessaro/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, path))
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")  # the shuffle files of this job alone; nothing reads them after it
     try:
@@ -39,15 +42,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_written(df: DataFrame) -> None:
-    """Delete the files behind a table of :func:`materialise` that is no longer needed."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    seen = set()
-    for f in df.inputFiles():
-        head, sep, tail = f.rpartition("/tessaro/")
-        if sep:
-            seen.add(head + sep + tail.split("/")[0])
-    for p in seen:
-        path = jvm.org.apache.hadoop.fs.Path(p)
+def drop_written() -> None:
+    """Delete all tables of :func:`materialise` in this process; results that still read them must be written first."""
+    while _WRITTEN:
+        spark, name = _WRITTEN.pop()
+        if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
+            continue
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+atexit.register(drop_written)
