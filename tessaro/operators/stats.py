@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import mid_rank
+from .ranking import mid_rank, value_ranks
 
 
 def coverage(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -20,7 +20,10 @@ def coverage(df: DataFrame, columns: list[str]) -> DataFrame:
 def correlation(df: DataFrame, a: str, b: str, min_pairs: int = 10) -> DataFrame:
     """One row: n, pearson, spearman over the rows with both values; null below ``min_pairs``."""
     both = df.select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")).where("a is not null and b is not null")
-    ranked = mid_rank(mid_rank(both, "a", "ra"), "b", "rb")
+    ranked = both
+    for c in ("a", "b"):  # both sets of ranks come from the pairs themselves, not from each other
+        r = value_ranks(both, c).select(F.col("v").alias(c), (F.col("below") + (F.col("ties") + 1) / 2).alias(f"r{c}"))
+        ranked = ranked.join(r, c)
     enough = F.count("*") >= min_pairs
     return ranked.agg(F.count("*").alias("n"), F.when(enough, F.corr("a", "b")).alias("pearson"), F.when(enough, F.corr("ra", "rb")).alias("spearman"))
 
