@@ -32,6 +32,8 @@ TRAIN_ROWS = 1_500
 #: Languages that are learned, at most: the most frequent ones.
 LANGUAGES = 64
 EPOCHS = 10
+#: Windows of an epoch, at least and at most.
+LEAST_WINDOWS, MOST_WINDOWS = 6_000, 12_000
 BLOCK = 64
 UNKNOWN = "und"
 
@@ -176,9 +178,9 @@ def train(docs: DataFrame, train_rows: int = TRAIN_ROWS, holdout: int = 4, held:
     net = Network(langs, seed)
     adam: dict = {}
     t = 0
-    per_epoch = min(len(x), 12_000)
     for epoch in range(epochs):
-        order = rng.permutation(len(x))[:per_epoch]
+        rounds = -(-LEAST_WINDOWS // len(x))  # few rows are seen more often
+        order = np.concatenate([rng.permutation(len(x)) for _ in range(rounds)])[:MOST_WINDOWS]
         for a in range(0, len(order), 64):
             t += 1
             rows = order[a : a + 64]
@@ -196,6 +198,7 @@ def identify(
     held: int = 2,
     train_on: DataFrame | None = None,
     carry: tuple[str, ...] = (),
+    epochs: int = EPOCHS,
 ) -> DataFrame:
     """doc_id, held_out, lang_pred, score, and in_<name> for columns to ``carry``: one row per row of ``docs``.
 
@@ -206,7 +209,7 @@ def identify(
     like others. An empty table gives no rows; other columns are not looked at.
     """
     known = pick(docs if train_on is None else train_on, doc_id=id_col, text=text_col, lang=lang_col)
-    net = train(known, train_rows, holdout, held)
+    net = train(known, train_rows, holdout, held, epochs)
     docs = pick(docs, doc_id=id_col, text=text_col, **{f"in_{c}": c for c in carry})
     extra = [f for f in docs.schema if f.name.startswith("in_")]
     docs = docs.select("doc_id", "text", (crc_mod(F.col("doc_id"), holdout) == held).alias("held_out"), *(f.name for f in extra))

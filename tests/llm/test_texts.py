@@ -13,7 +13,8 @@ SF = "/root/testdata/sf0.001"
 EDGE = [(None, "a b c"), (1, None), (2, ""), (3, "123 !!"), (4, "x"), (4, "x"), (5, "word " * 30000)]
 
 
-def test_language(make, docs):
+def test_language(spark, make):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     small = dict(train_rows=60, epochs=4)
     net = langid.train(docs.select("doc_id", "text", "lang"), **small)
     x, doc, letters = langid.windows_of(np.frombuffer(b"abc" * 200 + b"Xyz", np.uint8), np.array([0, 600, 603]))
@@ -22,10 +23,10 @@ def test_language(make, docs):
     z = logits - logits.max(1, keepdims=True)
     assert np.allclose(langid.predict_windows(x, net.tables(), net), z - np.log(np.exp(z).sum(1, keepdims=True)), atol=1e-4)
     lang = {r[0]: r[1] for r in docs.select("doc_id", "lang").collect()}
-    got = langid.identify(docs, train_rows=150).collect()
+    got = langid.identify(docs, train_rows=150, epochs=6).collect()
     held = [r for r in got if r["held_out"]]
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in got)
-    assert np.mean([r["lang_pred"] == lang[r["doc_id"]] for r in held]) > 0.9
+    assert np.mean([r["lang_pred"] == lang[r["doc_id"]] for r in held]) > 0.95
     edge = langid.identify(make(EDGE), train_on=docs, train_rows=40).collect()
     assert len(edge) == len(EDGE) and {r["doc_id"] for r in edge if r["lang_pred"] == "und"} == {1, 2, 3}
     assert {r["lang_pred"] for r in langid.identify(make(EDGE)).collect()} == {"und"}
@@ -79,9 +80,9 @@ def test_sum_of_squares_rule():
         else:
             assert levels[w] == o
             levels[w] += s
-    big = rng.integers(1, 1025, 3000)
+    big = np.minimum(1024, rng.gamma(2.0, 220, 6000).astype(int) + 1)
     where, offset = packing.pack_lengths(big, 1024)
-    assert len(set(where.tolist())) <= 1.02 * big.sum() / 1024 + 12
+    assert len(set(where.tolist())) <= 1.005 * big.sum() / 1024 + 2
 
 
 def edits(a, b):
