@@ -184,10 +184,14 @@ def test_extraction(spark):
 
 def test_leaks(spark, make):
     docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
-    tok = lambda t: re.findall(r"\w+", (t or "").lower())
-    grams = lambda t: {tuple(tok(t)[k : k + 5]) for k in range(len(tok(t)) - 4)}
+
+    def grams(t):
+        w = re.findall(r"\w+", (t or "").lower())
+        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+
     items = {r[0]: grams(r[1]) for r in bench.select("item_id", "text").collect()}
-    want = {(r[0], i) for r in docs.select("doc_id", "text").collect() for i, g in items.items() if len(grams(r[1]) & g) >= 0.9 * len(g)}
+    own = {r[0]: grams(r[1]) for r in docs.select("doc_id", "text").collect()}
+    want = {(d, i) for d, have in own.items() for i, g in items.items() if len(have & g) >= 0.9 * len(g)}
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, bench).collect()}
     assert want and got == want
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, bench, broadcast_windows=0).collect()} == want
