@@ -8,6 +8,10 @@ slot values are compared as well: a consistent substitution (every occurrence
 of one value replaced by the same other value) marks a re-parameterised
 question, an inconsistent one lowers the match.
 
+Whether a capitalised word is a name depends on the rest of its document, so
+windows with slots are joined in plain lower case as well: what is held word
+for word counts however its words are used elsewhere.
+
 The benchmark side is small but its size is checked: below ``BROADCAST_ITEMS``
 windows it is broadcast, otherwise the join shuffles. Document windows leave
 the scan as hashes only, and only the distinct ones of each document.
@@ -120,16 +124,17 @@ class Templates:
         self.slot = number | unit | name
         self.token = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, h)))
 
-    def windows(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(hash, first token, tokens) of the ``k``-token windows; a shorter text is one window."""
+    def windows(self, k: int, token: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, first token, tokens) of the ``k``-token windows, of template tokens if none are given; a shorter text is one window."""
+        token = self.token if token is None else token
         size = np.diff(self.first)
         k_of = np.minimum(size, k)
-        at = np.flatnonzero(np.arange(len(self.token)) + k_of[self.doc] <= self.first[1:][self.doc])
+        at = np.flatnonzero(np.arange(len(token)) + k_of[self.doc] <= self.first[1:][self.doc])
         width = k_of[self.doc[at]]
         out = np.zeros(len(at), np.uint64)
         for i in range(k):
             live = width > i
-            out = np.where(live, tb.mix(out * np.uint64(0x9E3779B97F4A7C15) + self.token[np.minimum(at + i, len(self.token) - 1)]), out)
+            out = np.where(live, tb.mix(out * np.uint64(0x9E3779B97F4A7C15) + token[np.minimum(at + i, len(token) - 1)]), out)
         return out, at, width
 
     def slots(self, a: int, k: int) -> str:
@@ -138,37 +143,40 @@ class Templates:
 
 
 def window_table(texts: DataFrame, known=None) -> DataFrame:
-    """id, n_windows, hash, slot: the distinct template windows of (id, text), of the known hashes only if given."""
+    """id, n_windows, hash, window, slot: the distinct windows of (id, text), of the known hashes only if given.
+
+    window: the hash of the template tokens. hash: the same, and in a further
+    row for windows with slots the hash of the plain tokens.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = _hash_words(sorted(UNITS))
         for batch in batches:
             for a, b, data, offs in tb.chunks(batch.column(1)):
                 t = Templates(data, offs, units)
-                h, at, width = t.windows(WINDOW)
+                window, at, width = t.windows(WINDOW)
+                slot_run = np.concatenate([[0], np.cumsum(t.slot)])
+                has = slot_run[at + width] > slot_run[at]
+                h = np.concatenate([window, t.windows(WINDOW, t.plain)[0][has]])
+                window, at, width, has = (np.concatenate([x, x[has]]) for x in (window, at, width, has))
                 doc = t.doc[at]
-                order = np.lexsort((at, h, doc)) if known is None else None
-                if order is None:
-                    total = np.bincount(doc, minlength=b - a)  # only the items' own counts are used
+                if known is not None:
                     hit = np.isin(h, known.value)
-                    h, at, width, doc = h[hit], at[hit], width[hit], doc[hit]
-                    order = np.lexsort((at, h, doc))
-                h, at, width, doc = h[order], at[order], width[order], doc[order]
+                    h, window, at, width, has, doc = h[hit], window[hit], at[hit], width[hit], has[hit], doc[hit]
+                order = np.lexsort((at, window, h, doc))
+                h, window, at, width, has, doc = h[order], window[order], at[order], width[order], has[order], doc[order]
                 new = np.ones(len(h), bool)
-                new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-                h, at, width, doc = h[new], at[new], width[new], doc[new]
-                if known is None:
-                    total = np.bincount(doc, minlength=b - a)
-                slot_run = np.concatenate([[0], np.cumsum(t.slot)])
-                has = slot_run[at + width] > slot_run[at]
+                new[1:] = (h[1:] != h[:-1]) | (window[1:] != window[:-1]) | (doc[1:] != doc[:-1])
+                h, window, at, width, has, doc = h[new], window[new], at[new], width[new], has[new], doc[new]
+                total = np.bincount(doc[h == window], minlength=b - a)  # only the items' own counts are used
                 filled = [t.slots(x, k) if y else "" for x, k, y in zip(at.tolist(), width.tolist(), has.tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(a + doc)), pa.array(total[doc], pa.int64()), pa.array(h.view(np.int64)), pa.array(filled, pa.string())],
-                    names=["id", "n_windows", "hash", "slot"],
+                    [batch.column(0).take(pa.array(a + doc)), pa.array(total[doc], pa.int64()), pa.array(h.view(np.int64)), pa.array(window.view(np.int64)), pa.array(filled, pa.string())],
+                    names=["id", "n_windows", "hash", "window", "slot"],
                 )
 
     kind = texts.schema["id"].dataType.simpleString()
-    return texts.mapInArrow(scan, f"id {kind}, n_windows long, hash long, slot string")
+    return texts.mapInArrow(scan, f"id {kind}, n_windows long, hash long, window long, slot string")
 
 
 def find_leaks(
@@ -184,15 +192,16 @@ def find_leaks(
     """The (document, benchmark item) pairs that match; clean documents have no row.
 
     Returns doc_id, item_id, n_shared (template windows of the item that the
-    document has), n_item (its template windows), share and kind: ``verbatim``
-    if all slot values agree, ``reparameterised`` if they differ consistently.
+    document has as templates or word for word), n_item (its template windows),
+    share and kind: ``verbatim`` if all slot values agree or the windows held
+    word for word are as many, ``reparameterised`` if they differ consistently.
     A pair counts if the share is ``share`` or more after windows with
-    inconsistent slots are taken off. Null, empty and wordless texts match
+    inconsistent slots are taken off; those held word for word count in any case. Null, empty and wordless texts match
     nothing; rows with null ids are left out. Repeated rows count once. Empty
     tables give no rows; other columns are not looked at.
     """
     items = window_table(pick(benchmark, id=item_col, text=item_text_col).where("id is not null"))
-    items = items.dropDuplicates(["id", "hash"]).select(F.col("id").alias("item_id"), F.col("n_windows").alias("n_item"), "hash", F.col("slot").alias("item_slot"))
+    items = items.dropDuplicates(["id", "hash", "window"]).select(F.col("id").alias("item_id"), F.col("n_windows").alias("n_item"), "hash", "window", F.col("slot").alias("item_slot"))
     items = materialise(items, "items")
     texts = pick(docs, id=id_col, text=text_col).where("id is not null")
     hashes = items.select("hash").distinct()
@@ -200,19 +209,31 @@ def find_leaks(
     known = None
     if hashes.count() <= broadcast_windows:
         known = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in hashes.toLocalIterator()], np.int64).view(np.uint64)))
-    found = window_table(texts, known).dropDuplicates(["id", "hash"]).withColumnRenamed("id", "doc_id").drop("n_windows")
+    found = window_table(texts, known).select(F.col("id").alias("doc_id"), "hash", F.when(F.col("hash") == F.col("window"), F.col("slot")).otherwise("").alias("slot"))
+    found = found.dropDuplicates(["doc_id", "hash"])
     small = F.broadcast(items) if known is not None else items
     hits = found.join(small, "hash")
+    template = F.col("hash") == F.col("window")
+    each = hits.groupBy("doc_id", "item_id", "window").agg(
+        F.max("n_item").alias("n_item"),
+        F.coalesce(F.max(F.when(template, F.col("item_slot"))), F.max("item_slot")).alias("item_slot"),
+        F.max(F.when(template, F.col("slot"))).alias("slot"),
+        F.max(~template | (F.col("item_slot") == "")).alias("plain"),
+    )
+    each = each.withColumn("slot", F.coalesce("slot", "item_slot"))
     # A value of the item that two different values stand for in the document is inconsistent.
-    each = hits.groupBy("doc_id", "item_id").agg(
+    each = each.groupBy("doc_id", "item_id").agg(
         F.max("n_item").alias("n_item"),
         F.count("*").alias("n_hit"),
+        F.count_if("plain").alias("n_plain"),
         F.count_if(F.col("slot") != F.col("item_slot")).alias("n_other"),
         F.collect_set(F.when(F.col("item_slot") != "", F.struct("item_slot", "slot"))).alias("maps"),
     )
     values = F.size(F.array_distinct(F.transform("maps", lambda m: m["item_slot"])))
     clash = F.greatest(F.lit(0), F.size("maps") - values)
-    out = each.withColumn("n_shared", F.col("n_hit") - F.when(F.col("n_other") > 0, clash).otherwise(0)).withColumn("share", F.col("n_shared") / F.col("n_item"))
+    consistent = F.col("n_hit") - F.when(F.col("n_other") > 0, clash).otherwise(0)
+    out = each.withColumn("n_shared", F.greatest(consistent, "n_plain")).withColumn("share", F.col("n_shared") / F.col("n_item"))
+    other = (F.col("n_other") > 0) & (F.col("n_shared") > F.col("n_plain"))
     return out.where(F.col("share") >= share).select(
-        "doc_id", "item_id", "n_shared", "n_item", "share", F.when(F.col("n_other") > 0, "reparameterised").otherwise("verbatim").alias("kind")
+        "doc_id", "item_id", "n_shared", "n_item", "share", F.when(other, "reparameterised").otherwise("verbatim").alias("kind")
     )

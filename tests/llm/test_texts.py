@@ -202,6 +202,17 @@ def test_leaks(spark, make):
     assert decontaminate.find_leaks(make(rows).where("false"), item).count() == 0 and decontaminate.find_leaks(make(rows), item.where("false")).count() == 0
 
 
+def test_leaks_held_word_for_word(spark, make):
+    q = "In the spring Rose will bring 12 boxes of apples to the market and sell them to Bill for 30 coins"
+    item = spark.createDataFrame([(1, q)], "item_id long, text string")
+    rows = [(1, f"{q}. Prices rose and the bill grew."), (2, q.lower()), (3, q.upper()), (4, f"Well. {q}"), (5, " ".join(q.split()[:12]) + " prices rose and the bill grew"), *EDGE]
+    for few in (decontaminate.BROADCAST_WINDOWS, 0):
+        got = decontaminate.find_leaks(make(rows), item, broadcast_windows=few).collect()
+        assert sorted((r["doc_id"], r["kind"], r["share"]) for r in got) == [(k, "verbatim", 1.0) for k in (1, 2, 3, 4)]
+    low = spark.createDataFrame([(1, q.lower())], "item_id long, text string")
+    assert {r["doc_id"] for r in decontaminate.find_leaks(make(rows), low).collect()} == {1, 2, 3, 4}
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as cp
 
