@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import itertools
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -42,13 +43,19 @@ def edge_elevation(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(a, "src").join(b, "dst").withColumn("elevation", F.round(F.col("_b") - F.col("_a"), 2)).drop("_a", "_b")
 
 
-def _reach(nodes: DataFrame, edges: DataFrame, rounds: int, forward: bool) -> DataFrame:
+def _rounds(limit: int | None) -> Iterator[int]:
+    """Rounds without end; an error after ``limit`` of them, as what is there then is not the result."""
+    yield from itertools.count() if limit is None else range(limit)
+    raise RuntimeError(f"no result after {limit} rounds")
+
+
+def _reach(nodes: DataFrame, edges: DataFrame, rounds: int | None, forward: bool) -> DataFrame:
     """(node, label): the smallest node that reaches each node (or that each node reaches)."""
     a, b = ("src", "dst") if forward else ("dst", "src")
     hop = edges.select(F.col(a).alias("from"), F.col(b).alias("node")).distinct()
     labels = nodes.select("node", F.col("node").alias("label"))
     hop = hop.persist()
-    for _ in range(rounds):
+    for _ in _rounds(rounds):
         new = labels.select("node", "label", F.col("label").alias("was"))
         for _ in range(HOPS):
             sent = hop.join(new.select(F.col("node").alias("from"), "label"), "from").select("node", "label", F.lit(None).cast("long").alias("was"))
@@ -108,18 +115,18 @@ def _tarjan(vertices: list, adj: dict) -> dict:
     return out
 
 
-def strong_components(nodes: DataFrame, edges: DataFrame, rounds: int = 1000, local: bool | None = None) -> DataFrame:
+def strong_components(nodes: DataFrame, edges: DataFrame, rounds: int | None = None, local: bool | None = None) -> DataFrame:
     """(node, component): strongly connected components, named by their smallest node.
 
-    A small graph is one linear pass on the driver; beyond that (or with
+    A graph with few edges and nodes is one linear pass on the driver; beyond that (or with
     ``local=False``) the work stays distributed:
     Forward and backward minima; nodes with the same pair of minima where both
-    are the same node are a component, and the others go round again. Needs a
-    checkpoint folder.
+    are the same node are a component, and the others go round again. Rounds
+    end when nothing changes; a limit, if given, raises. Needs a checkpoint folder.
     """
-    if local or (local is None and _small(edges)):
+    if local or (local is None and _small(edges) and nodes.select("node").distinct().limit(2 * LOCAL_EDGES + 1).count() <= 2 * LOCAL_EDGES):
         e = edges if "weight" in edges.columns else edges.withColumn("weight", F.lit(1.0))
-        vertices = sorted(r[0] for r in nodes.select("node").distinct().limit(2 * LOCAL_EDGES).collect())
+        vertices = sorted(r[0] for r in nodes.select("node").distinct().collect())
         found = _tarjan(vertices, _adjacency(e))
         return nodes.sparkSession.createDataFrame([(v, found[v]) for v in vertices], "node long, component long")
     done, rest = None, nodes.select("node")
@@ -161,14 +168,15 @@ def _dijkstra(adj: dict, source, cutoff: float | None) -> list[tuple]:
     return done
 
 
-def shortest_paths(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None = None, cutoff: float | None = None, rounds: int = 1000, local: bool | None = None) -> DataFrame:
+def shortest_paths(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None = None, cutoff: float | None = None, rounds: int | None = None, local: bool | None = None) -> DataFrame:
     """(src, dst, d, path): shortest paths from the sources (all nodes if not given), up to ``cutoff``.
 
     A small graph is broadcast and the sources are spread over the tasks, each
     with Dijkstra's algorithm. Beyond that (or with ``local=False``):
     Min-plus relaxation: each round extends only the paths that improved in the
     last one. With a cutoff the result holds near pairs alone, which is what
-    feasibility needs on a large graph. Needs a checkpoint folder.
+    feasibility needs on a large graph. Weights are not negative. Rounds end
+    when nothing improves; a limit, if given, raises. Needs a checkpoint folder.
     """
     if local or (local is None and _small(edges)):
         kind = nodes.schema["node"].dataType.simpleString()
@@ -184,7 +192,7 @@ def shortest_paths(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None
     short = edges.groupBy("src", "dst").agg(F.min("weight").cast("double").alias("w"))
     start = (sources if sources is not None else nodes).select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(0.0).alias("d"), F.array("node").alias("path"))
     dist = front = start.checkpoint()
-    for _ in range(rounds):
+    for _ in _rounds(rounds):
         step = front.select("src", F.col("dst").alias("via"), "d", "path").join(short.select(F.col("src").alias("via"), "dst", "w"), "via")
         step = step.select("src", "dst", (F.col("d") + F.col("w")).alias("d"), F.concat("path", F.array("dst")).alias("path"))
         if cutoff is not None:
@@ -195,7 +203,6 @@ def shortest_paths(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None
             return dist
         dist = dist.join(better.select("src", "dst"), ["src", "dst"], "left_anti").unionByName(better).checkpoint()
         front = better
-    return dist
 
 
 def distance_totals(dist: DataFrame) -> DataFrame:

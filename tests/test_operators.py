@@ -128,6 +128,17 @@ def test_graph_local_equals_distributed(spark):
     assert max(r["d"] for r in near) <= 2
 
 
+def test_graph_limits_lose_nothing(spark, monkeypatch):
+    nodes = spark.range(12).toDF("node")
+    ring = spark.createDataFrame([(i, (i + 1) % 12, 1.0) for i in range(12)], "src long, dst long, weight double")
+    for cut in (lambda: graph.shortest_paths(nodes, ring, rounds=2, local=False), lambda: graph.strong_components(nodes, ring, rounds=1, local=False)):
+        with pytest.raises(RuntimeError):
+            cut()
+    assert {r["component"] for r in graph.strong_components(nodes, ring, local=False).collect()} == {0}
+    monkeypatch.setattr(graph, "LOCAL_EDGES", 3)
+    assert {r["node"]: r["component"] for r in graph.strong_components(nodes, ring.where("src < 2")).collect()} == {i: i for i in range(12)}
+
+
 def test_search(spark):
     rng = np.random.default_rng(0)
     nodes = spark.createDataFrame([(i, float(s)) for i, s in enumerate(rng.random(14))], "node long, norm_score double")
