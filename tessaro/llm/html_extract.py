@@ -23,11 +23,13 @@ from .tables import pick
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(script|style|noscript|template|svg|iframe|textarea|select|object)\b.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s>/]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s>/]*)([^>]*)(?:>|\Z)",
     re.S | re.I,
 )
+# Elements whose inside is no text of the page, and those of them that a missing end tag leaves open up to the end of the page.
+OPAQUE = {x: re.compile(rf"</{x}(?=[\s/>])[^>]*>", re.I) for x in "script style noscript template svg iframe textarea select object".split()}
+RAW = frozenset("script style textarea".split())
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 
@@ -73,7 +75,9 @@ def tokens(page: str) -> Iterator[tuple[str, str, int]]:
     regions: list[list] = []  # [element, kind, open elements of that name inside]
     links = content = block = 0
     at = 0
-    for m in [*TOKEN.finditer(page), None]:
+    endless = set()  # opaque elements without an end tag in the rest of the page
+    while True:
+        m = TOKEN.search(page, at)
         if text := page[at : m.start() if m else len(page)]:
             place = regions[-1][1] if regions else "link" if links else "text"
             text = html.unescape(text)
@@ -87,11 +91,22 @@ def tokens(page: str) -> Iterator[tuple[str, str, int]]:
         if m is None:
             return
         at = m.end()
-        name = (m[3] or m[6] or "").lower()
+        name = (m[2] or m[5] or "").lower()
         if not name:
             yield "<markup>", "", block
             continue
-        closing, attributes = m[2] or m[5], m[4] or m[7] or ""
+        closing, attributes = m[1] or m[4], m[3] or m[6] or ""
+        if name in OPAQUE and not closing:
+            if not attributes.endswith("/"):
+                end = None if name in endless else OPAQUE[name].search(page, m.end(2) if m[2] else m.end(5))
+                if end:
+                    at = end.end()
+                elif name in RAW:
+                    at = len(page)
+                else:
+                    endless.add(name)
+            yield "<markup>", "", block
+            continue
         if name in BLOCKS:
             block += 1
         if name == "br":

@@ -182,6 +182,17 @@ def test_extraction(spark):
     assert [r["text"] for r in html_extract.extract(odd).collect()] == ["", "", ""] and html_extract.extract(odd.where("false")).count() == 0
 
 
+def test_extraction_drops_opaque_elements_alone():
+    w = html_extract.fit_weights(html_extract.labelled_pages())
+    body = "<article><h1>A title of some words</h1><p>First words that go on for a while.</p><p>Second words that go on as well.</p></article>"
+    want = "A title of some words\n\nFirst words that go on for a while.\n\nSecond words that go on as well."
+    for odd in ('<svg class="i" data-x="a>b" />', "<svg/>", "<select>", '<object data="x">', "<svg-icon></svg-icon>", "<select-menu>", "<Script src='a.js' />", "<svg viewBox='0'><text>no words of it</text></SVG >", "<script>if (a < b) x('</p>')</script>"):
+        assert html_extract.main_text(f"<html><body>{odd}{body}</body></html>", w) == want, odd
+        assert html_extract.main_text(f"<html><body>{odd}{body}<svg><text>none</text></svg><p></p></body></html>", w) == want, odd
+    for name in ("script", "style", "textarea"):
+        assert html_extract.main_text(f"<html><body>{body}<{name}>and so on to the end of it all", w) == want
+
+
 def test_leaks(spark, make):
     docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
 
