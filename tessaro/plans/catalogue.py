@@ -340,10 +340,8 @@ def poi_classify(spark, d):
 @query("poi_entropy", "select line, n, round(-sum(c * 1.0 / n * log2(c * 1.0 / n)), 2) as entropy from (select line, category, count(*) as c, cast(sum(count(*)) over (partition by line) as bigint) as n from {features} group by line, category) group by line, n")
 def poi_entropy(spark, d):
     f = fx(spark, d, "features")
-    cats = [r[0] for r in f.select("category").distinct().orderBy("category").limit(200).collect()]
-    g = f.groupBy("line").agg(*[F.count_if(F.col("category") == c).alias(f"n{i}") for i, c in enumerate(cats)])
-    cols = [F.col(f"n{i}") for i in range(len(cats))]
-    return g.select("line", numeric.row_sum(cols).cast("bigint").alias("n"), numeric.entropy(cols).alias("entropy"))
+    g = f.groupBy("line", "category").agg(F.count("*").alias("c")).groupBy("line").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log2("c")).alias("s"))
+    return g.select("line", "n", F.round(F.log2("n") - F.col("s") / F.col("n"), 2).alias("entropy"))
 
 
 @query("age_group_map", "select decade, count(*) as n from (select case when p_size >= 40 then '40+' else cast(cast(floor(p_size / 10) * 10 as integer) as varchar) || '-' || cast(cast(floor(p_size / 10) * 10 + 9 as integer) as varchar) end as decade from part) group by decade")

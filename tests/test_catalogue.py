@@ -42,6 +42,12 @@ def test_twin(spark, con, name):
     assert all(same(x, y) for a, b in zip(got, want) for x, y in zip(a, b))
 
 
+def test_poi_entropy_counts_every_category(spark, tmp_path):
+    part = spark.range(512).selectExpr("id as p_partkey", "'b' as p_brand", "concat('t', id) as p_type", "1 as p_size")
+    part.write.parquet(str(tmp_path / "part.parquet"))
+    assert [tuple(r) for r in QUERIES["poi_entropy"](spark, str(tmp_path)).select("line", "n", "entropy").collect()] == [("b", 512, 9.0)]
+
+
 def test_every_query_without_twin_runs(spark):
     for name in ("censored_impute", "vif_many", "lane_flag", "reproject_utm", "random_weights", "ga_run"):
         assert QUERIES[name](spark, SF).count() > 0
