@@ -35,7 +35,7 @@ IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Tokens that may be identifiers; four digits are asked for besides.
-TOKEN = re.compile(r"[A-Za-z0-9][A-Za-z0-9./_-]{3,38}[A-Za-z0-9]")
+TOKEN = re.compile(r"[A-Za-z0-9][A-Za-z0-9./_-]{3,}[A-Za-z0-9]")
 WORD = re.compile(r"[^\W\d_]+")
 DIGIT = re.compile(r"[0-9]")
 

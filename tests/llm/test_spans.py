@@ -71,6 +71,11 @@ def test_personal_data(make, docs):
     assert pii.find_personal_data(make(rows).where("false")).count() == 0
 
 
+def test_identifiers_are_whole():
+    for one in ("A1b2" * 20, "x/" * 30 + "1234"):
+        assert pii.mentions(f"ref {one}. end", []) == [(4, 4 + len(one), False)]
+
+
 def test_patterns_discover(make):
     rows = [(i, f"Please call my number +1 555 010 {1000 + i} or wait") for i in range(40)] + [(100, "Please call my number 0049-30-99887 or wait"), (101, "the year 2024/2025x ended")]
     got = {r["doc_id"]: r["spans"] for r in pii.find_personal_data(make(rows)).collect()}
