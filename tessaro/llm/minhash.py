@@ -33,8 +33,6 @@ BANDS = 32
 ROWS = 4
 #: Vertices of a block; a block pair is one unit of work.
 BLOCK = 1024
-#: Standard errors below the threshold from which a pair's signatures no longer count as similar enough to confirm.
-SIGMAS = 4.0
 #: Members that one task of block pairs gets on average.
 PER_TASK = 20_000
 
@@ -71,8 +69,8 @@ def identities(x: np.ndarray, first: np.ndarray) -> list[bytes | None]:
     return [None if a == b else row.tobytes() for a, b, row in zip(first[:-1].tolist(), first[1:].tolist(), both)]
 
 
-def signatures(x: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bands, low bytes of the signature) of the sets that begin at ``starts``."""
+def signatures(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The bands of the sets that begin at ``starts``."""
     n = len(starts)
     low, high = np.empty((PERMUTATIONS, n), np.uint64), np.empty((PERMUTATIONS, n), np.uint64)
     for p in range(PERMUTATIONS):
@@ -88,12 +86,11 @@ def signatures(x: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
         for part in four:
             v = tb.mix(v * np.uint64(0x9E3779B97F4A7C15) + part)
         bands[:, b] = v
-    sig = np.concatenate([low, high]).T.astype(np.uint8)
-    return bands, np.ascontiguousarray(sig)
+    return bands
 
 
 def signature_table(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, key (16 bytes), bands, sig (128 bytes); the last three null for empty sets."""
+    """doc_id, n_shingles, key (16 bytes), bands; the last two null for empty sets."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,24 +99,21 @@ def signature_table(docs: DataFrame, k: int) -> DataFrame:
                 n = np.diff(first)
                 live = np.flatnonzero(n)
                 bands: list = [None] * len(n)
-                sig: list = [None] * len(n)
                 if len(live):
-                    got, low = signatures(x, first[live])
-                    for i, r, s in zip(live.tolist(), got.view(np.int64), low):
-                        bands[i], sig[i] = r, s.tobytes()
+                    for i, r in zip(live.tolist(), signatures(x, first[live]).view(np.int64)):
+                        bands[i] = r
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, b - a),
                         pa.array(n, pa.int64()),
                         pa.array(identities(x, first), pa.binary()),
                         pa.array(bands, pa.list_(pa.int64())),
-                        pa.array(sig, pa.binary()),
                     ],
-                    names=["doc_id", "n_shingles", "key", "bands", "sig"],
+                    names=["doc_id", "n_shingles", "key", "bands"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(sign, f"doc_id {kind}, n_shingles long, key binary, bands array<long>, sig binary")
+    return docs.mapInArrow(sign, f"doc_id {kind}, n_shingles long, key binary, bands array<long>")
 
 
 def set_table(docs: DataFrame, k: int) -> DataFrame:
@@ -159,21 +153,6 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "ia", "ib").mapInArrow(check, "a binary, b binary")
 
 
-def similar(pairs: DataFrame, sigs: DataFrame, least: int) -> DataFrame:
-    """The pairs (a, b) whose signatures agree in ``least`` values or more."""
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.num_rows
-            if n:
-                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(n, -1) for i in (2, 3))
-                yield batch.select([0, 1]).filter(pa.array((x == y).sum(1) >= least))
-
-    left = sigs.select(F.col("key").alias("a"), F.col("sig").alias("sa"))
-    right = sigs.select(F.col("key").alias("b"), F.col("sig").alias("sb"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(check, "a binary, b binary")
-
-
 def common(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     """How many items of each of ``others`` the sorted array ``one`` has."""
     every = np.concatenate(others)
@@ -183,7 +162,7 @@ def common(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     return run[ends] - run[ends - [len(x) for x in others]]
 
 
-def block_pairs(members: DataFrame, vertices: DataFrame, sets: DataFrame, labels: DataFrame, least: int, percent: int) -> DataFrame:
+def block_pairs(members: DataFrame, vertices: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of the same bucket but different components that are links by the halves of their items.
 
     members: (band, key), all of each bucket. A pair is looked at in the first
@@ -207,7 +186,6 @@ def block_pairs(members: DataFrame, vertices: DataFrame, sets: DataFrame, labels
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for (band, i, j), g in pdf.groupby(["band", "i", "j"], sort=False):
-            sig = np.frombuffer(b"".join(g["sig"]), np.uint8).reshape(len(g), -1)
             bands = np.stack(g["bands"].to_numpy())
             at = (bands == band).argmax(1)[0]
             label, key = pd.factorize(g["label"])[0], g["key"].to_numpy()
@@ -217,7 +195,6 @@ def block_pairs(members: DataFrame, vertices: DataFrame, sets: DataFrame, labels
             right = left if i == j else np.flatnonzero(g["second"].to_numpy())
             for x in left.tolist():
                 y = right[(label[right] != label[x]) & ((key[right] > key[x]) | (i != j))]
-                y = y[(sig[y] == sig[x]).sum(1) >= least]
                 y = y[~(bands[y, :at] == bands[x, :at]).any(1)]
                 y = y[100 * np.minimum(size[y], size[x]) >= percent * np.maximum(size[y], size[x])]
                 if len(y):
@@ -242,11 +219,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     columns of ``docs`` are not looked at.
     """
     docs = pick(docs, doc_id=id_col, text=text_col)
-    least = int(np.floor(2 * PERMUTATIONS * (percent / 100 - SIGMAS * np.sqrt(percent / 100 * (1 - percent / 100) / (2 * PERMUTATIONS)))))
     table = materialise(signature_table(docs, k), "signatures")
     named = table.where("doc_id is not null and key is not null")
-    owners = materialise(named.groupBy("key").agg(F.min("doc_id").alias("owner"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "vertices")
-    vertices = owners.select("key", "bands", "sig")
+    owners = materialise(named.groupBy("key").agg(F.min("doc_id").alias("owner"), F.first("bands").alias("bands")), "vertices")
+    vertices = owners.select("key", "bands")
 
     bands = vertices.select("key", F.explode("bands").alias("band"))
     leaders = bands.groupBy("band").agg(F.min("key").alias("leader"), F.count("*").alias("n")).where("n > 1").select("band", "leader")
@@ -258,10 +234,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "sets",
     )
 
-    sigs = vertices.select("key", "sig")
     star = members.where("key <> leader").select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct()
-    first = materialise(confirm(similar(star, sigs, least), sets, percent), "links")
-    rest = block_pairs(members.select("band", "key"), vertices, sets, components(first), least, percent)
+    first = materialise(confirm(star, sets, percent), "links")
+    rest = block_pairs(members.select("band", "key"), vertices, sets, components(first), percent)
     second = materialise(confirm(rest, sets, percent), "links")
     labels = components(first.unionByName(second))
 

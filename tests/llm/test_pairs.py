@@ -67,6 +67,14 @@ def test_near_duplicates(make, monkeypatch, block):
     assert len({w[1] for w in want.values()}) < len(want)
 
 
+def test_near_duplicates_ask_no_signature(make, monkeypatch):
+    """What shares a band is decided by its sets, however many signature values agree."""
+    monkeypatch.setattr(minhash, "SIGMAS", -10.0, raising=False)
+    words = [f"w{i}" for i in range(84)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:80])), (3, " ".join(words[40:]))]
+    assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(make(rows)).collect()} == {1: 1, 2: 1, 3: 3}
+
+
 def test_near_duplicates_empty(make):
     assert minhash.near_duplicates(make(corpus()[:1]).where("false")).count() == 0
 
