@@ -50,8 +50,8 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray
     x, doc = words.windows(hashes, k)[ok], words.doc()[ok]
     few = np.flatnonzero((words.count > 0) & (words.count < k))
     if len(few):
-        whole = np.array([int.from_bytes(hashes[words.first[i] : words.first[i + 1]].tobytes(), "little") % 0xFFFFFFFFFFFFFFC5 for i in few], np.uint64)
-        x, doc = np.concatenate([x, tb.mix(whole + np.uint64(1))]), np.concatenate([doc, few])
+        whole = tb.sequences(hashes, words.first)[few]
+        x, doc = np.concatenate([x, whole]), np.concatenate([doc, few])
     order = np.lexsort((x, doc))
     x, doc = x[order], doc[order]
     new = np.ones(len(x), bool)

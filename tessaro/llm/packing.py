@@ -19,8 +19,8 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -195,15 +195,16 @@ def pack(
     cut = materialise(pieces(pick(docs, doc_id=id_col, text=text_col), tokenizer, capacity, end_id), "pieces")
     packers = max(1, -(-cut.count() // per_packer))
 
-    def place(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "piece", "ids_crc32"], kind="stable")
+    def place(rows: pa.Table) -> pa.Table:
+        # Ids stay in Arrow: pandas would round longs beside a null.
+        rows = rows.take(pc.sort_indices(rows, [(c, "ascending") for c in ("doc_id", "piece", "ids_crc32")]))
         where, offset = pack_lengths(rows["length"].to_numpy(), capacity)
-        rows["sequence_id"] = (rows["packer"].to_numpy(np.int64) << np.int64(32)) + where
-        rows["offset"] = offset
-        return rows.drop(columns="packer")
+        sequence = (rows["packer"].to_numpy().astype(np.int64) << np.int64(32)) + where
+        rows = rows.drop_columns(["packer"])
+        return rows.append_column("sequence_id", pa.array(sequence, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
 
     dealt = cut.withColumn("packer", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(packers)))
     kind = cut.schema["doc_id"].dataType.simpleString()
-    return dealt.groupBy("packer").applyInPandas(
+    return dealt.groupBy("packer").applyInArrow(
         place, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     )

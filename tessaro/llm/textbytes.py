@@ -15,8 +15,9 @@ import pyarrow as pa
 CHUNK = 1 << 20
 
 _U = np.uint64
-#: Odd multipliers of the polynomial hashes and their inverses modulo 2**64.
-BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+_ODD = _U(0x9E3779B97F4A7C15)
+#: The first n of eight bytes that are read as one little-endian number.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 #: The white space of the word contracts: space and \t \n \v \f \r.
 SPACE = np.zeros(256, bool)
@@ -36,22 +37,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
-_POW: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+def join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of pairs of hashes; the order within a pair counts."""
+    return mix(a * _ODD + b)
 
 
-def powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
-    """``base**i`` and ``base**-i`` modulo 2**64 for i below ``n`` at least."""
-    have = _POW.get(base)
-    if have is None or len(have[0]) < n:
-        m = max(n, CHUNK + CHUNK // 2)
-        up = np.full(m, _U(base))
-        down = np.full(m, _U(pow(base, -1, 1 << 64)))
-        up[0] = down[0] = 1
-        have = (np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64))
-        if m <= 2 * CHUNK:
-            _POW[base] = have
-    return have
+def places(n: int, seed: int = 0) -> np.ndarray:
+    """A random-looking number for each place below ``n``, to tell equal values at different places apart."""
+    return mix(np.arange(1, n + 1, dtype=np.uint64) * _ODD + _U(seed))
+
+
+def sequences(hashes: np.ndarray, first: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A hash of each run ``hashes[first[i] : first[i + 1]]`` of hashes, order and number included."""
+    size = np.diff(first)
+    at = np.arange(len(hashes)) - np.repeat(first[:-1], size)
+    run = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(mix(hashes ^ places(int(size.max(initial=0)), seed)[at]), out=run[1:])
+    return mix(run[first[1:]] - run[first[:-1]] + size.astype(np.uint64) * _ODD)
 
 
 def column_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -78,6 +80,39 @@ def chunks(col: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, int, np.ndar
         a = b
 
 
+def grams(hashes: np.ndarray, k: int) -> np.ndarray:
+    """A hash of the ``k`` hashes from each on, built by doubling; 0 for the last ``k - 1``."""
+
+    def build(m: int) -> np.ndarray:
+        if m == 1:
+            return hashes
+        half = build(m // 2)
+        out = join(half[: len(half) - m // 2], half[m // 2 :])
+        return join(out[:-1], hashes[m - 1 :]) if m % 2 else out
+
+    out = np.zeros(len(hashes), np.uint64)
+    if k <= len(hashes):
+        out[: len(hashes) - k + 1] = build(k)
+    return out
+
+
+def run_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each run ``data[start[i] : end[i]]`` of at least one byte."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    size = end - start
+    n = (size + 7) >> 3
+    first = np.cumsum(n) - n
+    k = np.arange(int(n.sum())) - np.repeat(first, n)
+    at = np.repeat(start, n) + 8 * k
+    part = eight[at] & _FIRST[np.minimum(np.repeat(end, n) - at, 8)]
+    total = np.add.reduceat(mix(part ^ places(int(n.max()), seed)[k]), first)
+    return mix(total + size.astype(np.uint64) * _ODD)
+
+
 class Words:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a chunk.
 
@@ -103,25 +138,17 @@ class Words:
         """The document of each word."""
         return np.repeat(np.arange(len(self.count)), self.count)
 
-    def hashes(self, lower: bool = False) -> np.ndarray:
-        """A 64-bit hash of each word, the same in every process."""
-        data = LOWER[self.data] if lower else self.data
-        up, down = powers(len(data) + 1, BASES[0])
-        run = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[data] * up[: len(data)], out=run[1:])
-        out = (run[self.end] - run[self.start]) * down[self.start]
-        out += (self.end - self.start).astype(np.uint64) * _U(0xA24BAED4963EE407)
-        return mix(out)
-
-    def windows(self, hashes: np.ndarray, k: int, base: int = 0) -> np.ndarray:
-        """A hash of the ``k`` words from each word on; right only where :meth:`starts` says so."""
-        up, down = powers(len(hashes) + 1, BASES[base])
-        run = np.zeros(len(hashes) + 1, np.uint64)
-        np.cumsum(hashes * up[: len(hashes)], out=run[1:])
-        m = max(0, len(hashes) - k + 1)
-        out = np.zeros(len(hashes), np.uint64)
-        out[:m] = mix((run[k : k + m] - run[:m]) * down[:m] + _U(k + 1))
-        return out
+    def hashes(self, lower: bool = False, seed: int = 0) -> np.ndarray:
+        """A 64-bit hash of each word, the same in every process; other seeds give independent ones.
+
+        Eight bytes at a time are mixed with their place in the word before they
+        are summed up, so no choice of letters makes long words collide.
+        """
+        return run_hashes(LOWER[self.data] if lower else self.data, self.start, self.end, seed)
+
+    def windows(self, hashes: np.ndarray, k: int) -> np.ndarray:
+        """:func:`grams`; right only where :meth:`starts` says so."""
+        return grams(hashes, k)
 
     def starts(self, k: int) -> np.ndarray:
         """Whether ``k`` words of the same document begin at each word."""

@@ -104,10 +104,10 @@ def plain_removed(rows, n):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("length", [50, 8])
-def test_substrings(make, length):
+@pytest.mark.parametrize("length, levels", [(50, 2), (50, 0), (50, 3), (8, 1), (3, 5)])
+def test_substrings(make, length, levels):
     rows = corpus()
-    got = substrings.drop_repeats(make(rows), length=length).collect()
+    got = substrings.drop_repeats(make(rows), length=length, levels=levels).collect()
     assert sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got), key=repr) == plain_removed(rows, length)
     assert substrings.drop_repeats(make(rows).where("false")).count() == 0
 
@@ -118,3 +118,19 @@ def test_whole_table(docs):
     assert sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got), key=repr) == plain_removed(rows, 50)
     want = plain_components(rows)
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(docs).collect()} == want
+
+
+def doubled(n, a, b):
+    """The Thue-Morse sequence of two symbols: sums of powers modulo 2**64 take it and its complement for equal."""
+    return [(a, b)[bin(i).count("1") % 2] for i in range(n)]
+
+
+def test_thue_morse_words_and_sequences_differ(make):
+    one, two = "".join(doubled(1024, "a", "b")), "".join(doubled(1024, "b", "a"))
+    few = ["w%d" % i for i in range(60)]
+    rows = [(1, " ".join([one] * 60)), (2, " ".join([two] * 60)), (3, " ".join(doubled(4096, "x", "y"))), (4, " ".join(doubled(4096, "y", "x"))), (5, " ".join(few)), (6, " ".join(few))]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(make(rows)).collect()}
+    assert got == {i: w[1] for i, w in plain_components(rows).items()}
+    assert got[2] == 2
+    got = substrings.drop_repeats(make(rows)).collect()
+    assert sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got), key=repr) == plain_removed(rows, 50)

@@ -53,8 +53,14 @@ def test_packing(make, docs):
     for parts in room.values():
         parts.sort()
         assert [a for a, _ in parts] == [0, *np.cumsum([n for _, n in parts])[:-1]] and sum(n for _, n in parts) <= 1024
-    edge = packing.pack(make(EDGE[:-1])).collect()
-    assert len(edge) == len(EDGE) - 1 and packing.pack(make(EDGE).where("false")).count() == 0
+    edge = packing.pack(make(EDGE)).collect()
+    assert Counter(r["doc_id"] for r in edge if r["piece"] == 0) == Counter(i for i, _ in EDGE) and packing.pack(make(EDGE).where("false")).count() == 0
+
+
+def test_packing_keeps_large_ids_beside_nulls(make):
+    ids = [2**53 + 1, 2**53 + 3, None, -(2**62) - 1]
+    got = packing.pack(make([(i, f"text {k}") for k, i in enumerate(ids)])).collect()
+    assert sorted(map(repr, ids)) == sorted(repr(r["doc_id"]) for r in got)
 
 
 def test_sum_of_squares_rule():
@@ -216,7 +222,7 @@ def test_leaks(spark, make):
 def test_leaks_held_word_for_word(spark, make):
     q = "In the spring Rose will bring 12 boxes of apples to the market and sell them to Bill for 30 coins"
     item = spark.createDataFrame([(1, q)], "item_id long, text string")
-    rows = [(1, f"{q}. Prices rose and the bill grew."), (2, q.lower()), (3, q.upper()), (4, f"Well. {q}"), (5, " ".join(q.split()[:12]) + " prices rose and the bill grew"), *EDGE]
+    rows = [(1, f"{q}. Prices rose and the bill grew."), (2, q.lower()), (3, q.upper()), (4, f"Well. {q}"), (5, " ".join(q.split()[:12]) + " prices rose and the bill grew"), *EDGE[:4], *EDGE[6:]]
     for few in (decontaminate.BROADCAST_WINDOWS, 0):
         got = decontaminate.find_leaks(make(rows), item, broadcast_windows=few).collect()
         assert sorted((r["doc_id"], r["kind"], r["share"]) for r in got) == [(k, "verbatim", 1.0) for k in (1, 2, 3, 4)]
@@ -224,6 +230,155 @@ def test_leaks_held_word_for_word(spark, make):
     assert {r["doc_id"] for r in decontaminate.find_leaks(make(rows), low).collect()} == {1, 2, 3, 4}
 
 
+def kinds(spark, make, items, rows):
+    items = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return sorted((r["doc_id"], r["item_id"], r["kind"]) for r in decontaminate.find_leaks(make(rows), items).collect())
+
+
+def test_leaks_of_all_scripts_and_places(spark, make):
+    items = [
+        "В понедельник утром поезд везёт Ивана из города Москва с 120 пассажирами и через 3 часа он приходит в город Тверь",
+        "Paris, London and Rome each have 12 trams that run for 40 km to the north side of the town",
+        "capital of France",
+        "Question。答えは何ですか，次の問題に進みます 12 回",
+        "Der Dichter Čapek schrieb 14 Stücke und 3 Romane für das kleine Theater am Rand der Stadt",
+        "a lift carries ١٢ crates up in ٣ hours and then comes back down for the men who wait below",
+        "ox",
+    ]
+    rows = [
+        (1, "Так. В понедельник утром поезд везёт Петра из города Казань с 75 пассажирами и через 9 часа он приходит в город Омск. Всё"),
+        (2, "So: Oslo, Berlin and Madrid each have 31 trams that run for 9 km to the north side of the town"),
+        (3, "the name of the capital of France is known to all of us here"),
+        (4, "前の文。Question。答えは何ですか，次の問題に進みます 57 回。"),
+        (5, "Ja, der Dichter Šalda schrieb 2 Stücke und 11 Romane für das kleine Theater am Rand der Stadt"),
+        (6, "a lift carries 450 crates up in 7 hours and then comes back down for the men who wait below"),
+        (7, "an ox and nothing more of note in all of this"),
+        (8, "Trams: Oslo, Berlin and Madrid each have 31 trams that run for 9 km to the north side of the town. " + items[1]),
+    ]
+    r = "reparameterised"
+    assert kinds(spark, make, items, rows) == [(1, 0, r), (2, 1, r), (3, 2, "verbatim"), (4, 3, r), (5, 4, r), (6, 5, r), (8, 1, "verbatim")]
+
+
+def plain_leaks(items, rows, share=0.75):
+    """The rules of the operator, one text at a time and all pairs."""
+    import unicodedata
+
+    import regex
+
+    single = r"[\p{Lo}&&[\u3041-\u30FF\u31F0-\u31FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\U00020000-\U0003FFFF]]"
+    token = regex.compile(rf"(?V1)(?P<one>{single})|(?P<num>\p{{Nd}}+(?:[.,:٫٬]\p{{Nd}}+)*)|(?P<word>[[\p{{L}}\p{{M}}]--{single}]+(?:['’][[\p{{L}}\p{{M}}]--{single}]+)*)")
+
+    def fold(c):
+        if c == "’":
+            return "'"
+        if unicodedata.category(c) == "Nd":
+            return str(unicodedata.decimal(c))
+        return c.casefold() if len(c.casefold()) == 1 else c.lower()[0]
+
+    def read(text):
+        text = unicodedata.normalize("NFKC", text or "")
+        found = list(token.finditer(text))
+        low = ["".join(map(fold, m[0])) for m in found]
+        out, last = [], None  # [placeholder or None, value, end]
+        for i, m in enumerate(found):
+            kind = None
+            if m["num"]:
+                kind = "number"
+            elif i and found[i - 1]["num"] and low[i] in decontaminate.UNITS:
+                kind = "unit"
+            elif m["word"] and len(m[0]) > 1 and unicodedata.category(m[0][0]) in ("Lu", "Lt"):
+                kind = "name"
+            if kind == "name" and out and out[-1][0] == "name" and m.start() - last == 1 and text[last] in " -":
+                out[-1][1] += text[last] + low[i]
+            else:
+                out.append([kind, low[i]])
+            last = m.end()
+        k = min(5, len(low))
+        plain = {tuple(low[i : i + k]) for i in range(len(low) - k + 1)} if k >= 3 else set()
+        wins = {tuple((kind, value if kind else value) for kind, value in out[i : i + 5]) for i in range(len(out) - 4)}
+        wins = {w for w in wins if sum(kind is None for kind, _ in w) >= 2}
+        return low, plain, wins
+
+    def form(w):
+        return tuple(kind or ("=", value) for kind, value in w)
+
+    def slots(w):
+        return [v for kind, v in w if kind]
+
+    own = {}
+    for d, t in rows:
+        if d is not None:
+            low, plain, wins = read(t)
+            have = own.setdefault(d, (set(), set()))
+            for k in (3, 4, 5):
+                have[0].update(tuple(low[i : i + k]) for i in range(len(low) - k + 1))
+            have[1].update(wins)
+    out = []
+    for i, t in items:
+        _, plain, wins = read(t)
+        for d, (have, theirs) in own.items():
+            results = []
+            if plain:
+                results.append((len(plain & have) / len(plain), True))
+            if any(slots(w) for w in wins):
+                match = {w: [x for x in theirs if form(x) == form(w)] if slots(w) else [w] * (tuple(v for _, v in w) in have) for w in wins}
+                votes = {}
+                for w, xs in match.items():
+                    for x in xs:
+                        for a, b in zip(slots(w), slots(x)):
+                            votes.setdefault(a, {}).setdefault(b, set()).add(w)
+                best = {a: max((len(ws), b) for b, ws in by.items())[1] for a, by in votes.items()}
+                ok = {w: [x for x in xs if all(best[a] == b for a, b in zip(slots(w), slots(x)))] for w, xs in match.items()}
+                ok = {w: xs for w, xs in ok.items() if xs}
+                results.append((len(ok) / len(wins), all(w in xs for w, xs in ok.items())))
+            results = [r for r in results if r[0] >= share]
+            if results:
+                s, same = max(results)
+                out.append((d, i, round(s, 9), "verbatim" if same else "reparameterised"))
+    return sorted(out)
+
+
+def test_leaks_equal_the_plain_rules(spark, make):
+    import random
+
+    rng = random.Random(8)
+    words = "the of train runs слово дом 'tis it's l’eau naïve ὁδός straße 本 の dog-eared Km km hours ﬁne".split() + ["e\u0301t\u0301"]
+    names = "Paris London Иван Čapek Ελλάδα NASA New York McCoy Élodie".split()
+
+    def sentence(n):
+        out = []
+        for _ in range(n):
+            x = rng.random()
+            out.append(rng.choice(words) if x < 0.7 else rng.choice(names) if x < 0.85 else rng.choice(["12", "3.5", "1,200", "٣٤", "7 km", "9:30", "5 hours"]))
+        return (rng.choice([" ", " ", ", ", "\n", ". "])).join(out)
+
+    def vary(text):
+        out = []
+        for w in text.split(" "):
+            x = rng.random()
+            if x < 0.25 and any(c.isdigit() for c in w):
+                w = str(rng.randint(1, 99))
+            elif x < 0.25 and w[:1].isupper():
+                w = rng.choice(names)
+            elif x < 0.04:
+                w = rng.choice(words)
+            out.append(w.upper() if x > 0.97 else w)
+        return " ".join(out)
+
+    items = [(i, sentence(rng.choice([2, 3, 4, 6, 12, 25]))) for i in range(40)] + [(90, None), (91, ""), (0, "one more text of the same item as the first")]
+    rows = list(EDGE)
+    for k in range(250):
+        rows.append((100 + k, " ".join([sentence(rng.randint(0, 30)), vary(rng.choice(items[:40])[1]), sentence(rng.randint(0, 20)), vary(rng.choice(items[:40])[1])])))
+    merged = [(i, t) for i, t in items[1:40]]  # the item with two texts is left to the test of repeated ids
+    frame = spark.createDataFrame(merged + items[40:42], "item_id long, text string")
+    for few in (decontaminate.BROADCAST_WINDOWS, 0):
+        got = sorted((r["doc_id"], r["item_id"], round(r["share"], 9), r["kind"]) for r in decontaminate.find_leaks(make(rows), frame, broadcast_windows=few).collect())
+        assert got == plain_leaks(merged, rows)
+    assert {k for *_, k in got} == {"verbatim", "reparameterised"}
+    twice = spark.createDataFrame([items[0], items[-1], (None, "a b c d e f")], "item_id long, text string")
+    assert decontaminate.find_leaks(make(rows), twice).where("item_id is null").count() == 0
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as cp
 
