@@ -6,6 +6,7 @@ patterns. Spark scores the bipartite graph of patterns and instances in
 rounds: a pattern is as trustworthy as the instances it extracts, an unseen
 instance as likely as the patterns that extract it. Identifiers without a
 provable form become spans once patterns of high confidence discover them.
+Rounds go on until a round discovers nothing that was not known before.
 
 The graph holds distinct (pattern, instance) pairs of identifier-like tokens
 only, so it stays far below the text in size; a pattern or an instance that is
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -39,13 +41,10 @@ TOKEN = re.compile(r"[A-Za-z0-9][A-Za-z0-9./_-]{3,}[A-Za-z0-9]")
 WORD = re.compile(r"[^\W\d_]+")
 DIGIT = re.compile(r"[0-9]")
 
-ROUNDS = 2
 #: Distinct seeds a pattern must extract.
 SUPPORT = 8
 #: Confidence that a pattern and an unseen instance must reach.
 CONFIDENCE = 0.9
-#: Characters looked at on either side for the words of a pattern.
-REACH = 64
 
 
 def luhn(digits: str) -> bool:
@@ -95,22 +94,36 @@ def mentions(text: str, base: list[tuple[int, int, str, int]]) -> list[tuple[int
     """(start, end, seed) of the seeds and of the identifier-like tokens that touch none."""
     out = [(a, b, True) for a, _, _, b in base]
     if DIGIT.search(text):
+        known = sp.Taken(base)
         for m in TOKEN.finditer(text):
-            if len(DIGIT.findall(m[0])) >= 4 and not sp.overlaps(base, m.start(), m.end()):
+            if len(DIGIT.findall(m[0])) >= 4 and not known.touches(m.start(), m.end()):
                 out.append((m.start(), m.end(), False))
     return out
 
 
-def patterns(text: str, a: int, b: int) -> list[str]:
-    """The two words before a mention; the word before and the word after it."""
-    before = WORD.findall(text[max(0, a - REACH) : a].lower())[-2:]
-    after = WORD.findall(text[b : b + REACH].lower())[:1]
-    out = []
-    if len(before) == 2:
-        out.append("<" + " ".join(before))
-    if before and after:
-        out.append(before[-1] + "<>" + after[0])
-    return out
+class Context:
+    """The words of a text, to be found from any place in it."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.spans = [m.span() for m in WORD.finditer(text)]
+        self.starts = [a for a, _ in self.spans]
+        self.ends = [b for _, b in self.spans]
+
+    def patterns(self, a: int, b: int) -> list[str]:
+        """Of a mention: the two words before it; the word before and the word after it, however far away.
+
+        Of a word that the mention begins or ends in, the part outside of it counts.
+        """
+        i, j = bisect_left(self.starts, a), bisect_right(self.ends, b)
+        before = [self.text[x : min(y, a)].lower() for x, y in self.spans[max(0, i - 2) : i]]
+        after = [self.text[max(x, b) : y].lower() for x, y in self.spans[j : j + 1]]
+        out = []
+        if len(before) == 2:
+            out.append("<" + " ".join(before))
+        if before and after:
+            out.append(before[-1] + "<>" + after[0])
+        return out
 
 
 def mention_table(docs: DataFrame) -> DataFrame:
@@ -127,11 +140,10 @@ def mention_table(docs: DataFrame) -> DataFrame:
                 counts.append([sum(x[1] == k for x in base) for k in range(4)])
                 shas.append(sp.digest(sp.as_text(base)))
                 bases.append([dict(zip(("start", "rank", "kind", "end"), x)) for x in base])
+                found = mentions(text, base)
+                context = Context(text) if found else None
                 founds.append(
-                    [
-                        {"start": a, "end": b, "seed": seed, "hash": hashlib.blake2b(text[a:b].encode(), digest_size=16).digest(), "patterns": patterns(text, a, b)}
-                        for a, b, seed in mentions(text, base)
-                    ]
+                    [{"start": a, "end": b, "seed": seed, "hash": hashlib.blake2b(text[a:b].encode(), digest_size=16).digest(), "patterns": context.patterns(a, b)} for a, b, seed in found]
                 )
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array([c[k] for c in counts], pa.int64()) for k in range(4)), pa.array(shas, pa.string()), pa.array(bases, pa.list_(span)), pa.array(founds, pa.list_(mention))],
@@ -146,23 +158,30 @@ def mention_table(docs: DataFrame) -> DataFrame:
     )
 
 
-def scores(edges: DataFrame, rounds: int, support: int, confidence: float) -> DataFrame:
-    """(hash, score) of the unseen instances of (pattern, hash, seed) after ``rounds`` rounds."""
+def scores(edges: DataFrame, support: int, confidence: float) -> DataFrame:
+    """(hash, score) of the unseen instances of (pattern, hash, seed) that trusted patterns extract.
+
+    Scores of instances and patterns only grow from round to round, so what is
+    discovered does too; the rounds end when its number stays the same.
+    """
     score = edges.select("hash", F.lit(0.0).alias("score")).where("false")
-    for _ in range(rounds):
+    before = 0
+    while True:
         known = edges.join(score, "hash", "left").withColumn("s", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("score", F.lit(0.0))))
         trusted = known.groupBy("pattern").agg(F.avg("s").alias("conf"), F.count_if("seed").alias("n")).where((F.col("n") >= support) & (F.col("conf") >= confidence)).select("pattern", "conf")
         unseen = edges.where("not seed").join(trusted, "pattern")
         score = unseen.groupBy("hash").agg((1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("conf")))))).alias("score"))
         score = materialise(score, "scores")
-    return score
+        now = score.count()
+        if now == before:
+            return score
+        before = now
 
 
 def find_personal_data(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    rounds: int = ROUNDS,
     support: int = SUPPORT,
     confidence: float = CONFIDENCE,
 ) -> DataFrame:
@@ -178,7 +197,7 @@ def find_personal_data(
     rows = materialise(rows, "mentions")
     each = rows.where(F.size("found") > 0).select("row", F.explode("found").alias("m")).select("row", "m.*")
     edges = materialise(each.select(F.explode("patterns").alias("pattern"), "hash", "seed").groupBy("pattern", "hash").agg(F.max("seed").alias("seed")), "graph")
-    found = scores(edges, rounds, support, confidence).where(F.col("score") >= confidence).select("hash")
+    found = scores(edges, support, confidence).where(F.col("score") >= confidence).select("hash")
     added = each.where("not seed").join(found, "hash", "left_semi").groupBy("row")
     added = added.agg(F.collect_list(F.struct("start", F.lit(4).alias("rank"), F.lit("context").alias("kind"), "end")).alias("added"))
     out = rows.drop("found").join(added, "row", "left")

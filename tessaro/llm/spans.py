@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -26,8 +27,23 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), one), ",")
 
 
-def overlaps(spans: list[tuple[int, int, str, int]], a: int, b: int) -> bool:
-    return any(s < b and a < e for s, _, _, e in spans)
+class Taken:
+    """The places that spans cover; each question costs the logarithm of their number."""
+
+    def __init__(self, spans: list[tuple[int, int, str, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted((x[0], x[3]) for x in spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def touches(self, a: int, b: int) -> bool:
+        """Whether a span has a place of ``a`` to ``b`` (exclusive)."""
+        i = bisect_left(self.starts, b)
+        return i > 0 and self.ends[i - 1] > a
 
 
 def replace(text: str, spans: list[tuple[int, int, str]], mask: str = "<{}>") -> str:

@@ -134,6 +134,17 @@ class Words:
         self.first = np.searchsorted(self.start, offs)
         self.count = np.diff(self.first)
 
+    def take(self, rows: np.ndarray) -> Words:
+        """The words of some of the documents, without a copy of the bytes."""
+        out = object.__new__(Words)
+        some = np.zeros(len(self.count), bool)
+        some[rows] = True
+        words = np.repeat(some, self.count)
+        out.data, out.offs = self.data, self.offs
+        out.start, out.end, out.count = self.start[words], self.end[words], self.count[some]
+        out.first = np.concatenate([[0], np.cumsum(out.count)])
+        return out
+
     def doc(self) -> np.ndarray:
         """The document of each word."""
         return np.repeat(np.arange(len(self.count)), self.count)

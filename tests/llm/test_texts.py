@@ -159,13 +159,39 @@ def test_quality(make, docs):
         want = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(cover))
         assert tuple(got[i][c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == want
         assert got[i]["base_failed"] == (len(w) < 50 or 100 * len(cover) > 50 * len(w)) and not (got[i]["kept"] and got[i]["base_failed"])
+    lean = {r["doc_id"]: r["kept"] for r in quality.assess(docs, counts=False).collect()}
+    assert lean == {i: r["kept"] for i, r in got.items()}
     import pyarrow as pa
 
     order = list(quality.RULES)
     for _, _, data, offs in textbytes.chunks(pa.array([t for _, t in rows])):
         one, two = quality.judge(quality.Measured(data, offs), order, quality.RULES) < 0, quality.judge(quality.Measured(data, offs), order[::-1], quality.RULES) < 0
         assert (one == two).all()
-    assert quality.assess(make(EDGE)).count() == len(EDGE) and quality.assess(make(EDGE).where("false")).count() == 0
+    for counts in (True, False):
+        assert quality.assess(make(EDGE), counts=counts).count() == len(EDGE) and quality.assess(make(EDGE).where("false"), counts=counts).count() == 0
+
+
+def test_cascade_takes_measures_of_survivors_alone(monkeypatch):
+    import pyarrow as pa
+
+    asked = []
+    for name, f in list(quality.MEASURES.items()):
+        monkeypatch.setitem(quality.MEASURES, name, lambda m, f=f, name=name: (asked.append((name, len(f(m)))), f(m))[1])
+    texts = ["a b", "# " * 80, " ".join(f"word{i}" for i in range(90)), None]
+    (_, _, data, offs), = textbytes.chunks(pa.array(texts))
+    verdict = quality.judge(quality.Measured(data, offs), ["few_words", "symbols", "repeated_words", "dup_lines"], quality.RULES)
+    assert verdict.tolist() == [0, 1, -1, 0]
+    assert asked == [("n_words", 4), ("n_symbols", 2), ("n_repeat_words", 1), ("n_dup_lines", 1)]
+
+
+def test_cascade_order_is_rejections_per_cost():
+    on = lambda *x: np.isin(np.arange(100), x)
+    rules = {n: quality.Rule((m,), None) for n, m in (("cheap", "a"), ("dear", "b"), ("dear_too", "b"), ("none", "c"))}
+    steps = quality.order_of({"cheap": on(*range(5)), "dear": on(*range(60)), "dear_too": on(*range(55, 64)), "none": on()}, {"a": 1.0, "b": 64.0, "c": 4.0}, rules)
+    assert [(s.rule, s.rejected, s.seen) for s in steps] == [("cheap", 5, 100), ("dear", 55, 95), ("dear_too", 4, 40), ("none", 0, 36)]
+    # Where b is taken anyway, its rules come first.
+    steps = quality.order_of({"cheap": on(*range(5)), "dear": on(*range(60)), "dear_too": on(*range(55, 64)), "none": on()}, {"a": 1.0, "b": 64.0, "c": 4.0}, rules, free=("b",))
+    assert [s.rule for s in steps][:2] == ["dear", "dear_too"]
 
 
 def test_extraction(spark):
@@ -199,6 +225,44 @@ def test_extraction_drops_opaque_elements_alone():
         assert html_extract.main_text(f"<html><body>{body}<{name}>and so on to the end of it all", w) == want
 
 
+def test_extraction_decides_by_place_and_not_by_name():
+    w = html_extract.fit_weights(html_extract.labelled_pages())
+    p = "The text of the page is this one and it goes on for a while."
+    inside = f'<article><h1>Title of it all</h1><p>{p}</p><h2 id="feedback">Feedback loops</h2><p class="alert">Take care of this one here.</p><h2 id="discussion">Discussion</h2><p>{p}</p><h2 id="related-work">Related work</h2><p>More.</p></article>'
+    assert html_extract.main_text(f"<html><body>{inside}</body></html>", w).split("\n\n") == ["Title of it all", p, "Feedback loops", "Take care of this one here.", "Discussion", p, "Related work", "More."]
+    teaser = f"<main><h1>Main title here</h1><p>{p}</p></main><aside><article><h3>Teaser</h3><p>A teaser text of some words that one could read.</p></article></aside>"
+    assert html_extract.main_text(teaser, w) == f"Main title here\n\n{p}"
+    menu = "<ul><li>Home</li><li>About us</li><li>Contact</li><li>Prices</li></ul>"
+    assert html_extract.main_text(f"{menu}<h1>The title</h1><p>{p}</p>", w) == f"The title\n\n{p}"
+    assert html_extract.main_text(f"{menu}<p>{p}</p><p>{p}</p>", w) == f"{p}\n\n{p}"
+    voices = "".join(f'<div class="voice"><p>I liked this text number {k} a lot, thank you for it.</p></div>' for k in range(3))
+    for element in ("article", "div class='xx'"):
+        assert html_extract.main_text(f"<{element}><h1>The title</h1><p>{p}</p><p>{p}</p></{element.split()[0]}><div class='voices'>{voices}</div>", w) == f"The title\n\n{p}\n\n{p}"
+    wrapped = f'<body class="has-sidebar"><div class="page with-sidebar"><article><h1>The title</h1><p>{p}</p></article></div></body>'
+    assert html_extract.main_text(wrapped, w) == f"The title\n\n{p}"
+
+
+def test_extraction_on_held_out_layouts():
+    w = html_extract.fit_weights(html_extract.labelled_pages())
+    kept, n = [0, 0], [0, 0]
+    for page, content in html_extract.labelled_pages(150, seed=99):
+        got = html_extract.main_text(page, w).split("\n\n")
+        for block, good in zip([b for b in html_extract.blocks_of(page) if b.words], content):
+            kept[good] += " ".join(block.said) in got
+            n[good] += 1
+    assert kept[1] > 0.95 * n[1] and kept[0] < 0.03 * n[0]
+
+
+def test_extraction_is_linear():
+    import time
+
+    w = html_extract.fit_weights(html_extract.labelled_pages(60))
+    for page in ("<div class='a'>" * 20000 + "x y z" + "</div>" * 20000, "<p>" + "word " * 500_000, "<div><b>" * 20000, "<" * 50000, "<a " * 50000, "<div><p hidden>x" * 10000):
+        began = time.perf_counter()
+        html_extract.main_text(page, w)
+        assert time.perf_counter() - began < 5
+
+
 def test_leaks(spark, make):
     docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
 
