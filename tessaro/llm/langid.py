@@ -29,11 +29,9 @@ FILTERS = 16
 EMBED = 8
 #: Labelled rows of each language that the network is trained on, at most.
 TRAIN_ROWS = 1_500
-#: Languages that are learned, at most: the most frequent ones.
-LANGUAGES = 64
-EPOCHS = 10
-#: Windows of an epoch, at least and at most.
-LEAST_WINDOWS, MOST_WINDOWS = 6_000, 12_000
+EPOCHS = 7
+#: Windows of an epoch, at least; few rows are seen more often.
+LEAST_WINDOWS = 6_000
 BLOCK = 64
 UNKNOWN = "und"
 
@@ -149,7 +147,7 @@ def train(docs: DataFrame, train_rows: int = TRAIN_ROWS, holdout: int = 4, held:
     if no row has a language.
     """
     known = docs.where("lang is not null and text is not null and doc_id is not null").where(crc_mod(F.col("doc_id"), holdout) != held)
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row per language
     langs = sorted(r["lang"] for r in counts)
     if not langs:
         return None
@@ -179,8 +177,8 @@ def train(docs: DataFrame, train_rows: int = TRAIN_ROWS, holdout: int = 4, held:
     adam: dict = {}
     t = 0
     for epoch in range(epochs):
-        rounds = -(-LEAST_WINDOWS // len(x))  # few rows are seen more often
-        order = np.concatenate([rng.permutation(len(x)) for _ in range(rounds)])[:MOST_WINDOWS]
+        rounds = -(-LEAST_WINDOWS // len(x))
+        order = np.concatenate([rng.permutation(len(x)) for _ in range(rounds)])
         for a in range(0, len(order), 64):
             t += 1
             rows = order[a : a + 64]
@@ -200,11 +198,12 @@ def identify(
     carry: tuple[str, ...] = (),
     epochs: int = EPOCHS,
 ) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, and in_<name> for columns to ``carry``: one row per row of ``docs``.
+    """doc_id, held_out, lang_pred, score, has_letters, and in_<name> for columns to ``carry``: one row per row of ``docs``.
 
-    Learned from ``train_on`` (``docs`` if not given). Texts that are null or
-    have no letters are ``und`` with score 0; so is everything if there is
-    nothing to learn from. held_out is null where doc_id is. Equal
+    Learned from ``train_on`` (``docs`` if not given), from at most ``train_rows``
+    rows of each of its languages. Texts that are null or have no letters are
+    ``und`` with score 0; so is everything if there is nothing to learn from,
+    and has_letters tells these apart. held_out is null where doc_id is. Equal
     probabilities: the language first in the alphabet. Repeated rows are scored
     like others. An empty table gives no rows; other columns are not looked at.
     """
@@ -221,7 +220,10 @@ def identify(
         for batch in batches:
             for a, b, data, offs in tb.chunks(batch.column(1)):
                 lang: list[str] = [UNKNOWN] * (b - a)
-                score = np.zeros(b - a)
+                score, lettered = np.zeros(b - a), np.zeros(b - a, bool)
+                texts = batch.column(1).slice(a, b - a)
+                for i in np.flatnonzero(np.diff(offs)).tolist():
+                    lettered[i] = LETTER.search(texts[i].as_py()) is not None
                 if net:
                     x, doc, letters = windows_of(data, offs)
                     logs = predict_windows(x, tables, net) * letters[:, None]
@@ -230,16 +232,14 @@ def identify(
                     z = total / np.maximum(weight, 1)[:, None] * np.minimum(np.bincount(doc, minlength=b - a), 4)[:, None]
                     z = np.exp(z - z.max(1, keepdims=True))
                     z /= z.sum(1, keepdims=True)
-                    texts = batch.column(1).slice(a, b - a)
-                    for i in np.flatnonzero(weight > 0).tolist():
-                        if LETTER.search(texts[i].as_py()):
-                            k = int(z[i].argmax())
-                            lang[i], score[i] = net.langs[k], z[i, k]
+                    for i in np.flatnonzero(lettered).tolist():
+                        k = int(z[i].argmax())
+                        lang[i], score[i] = net.langs[k], z[i, k]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(lang, pa.string()), pa.array(score), *(c.slice(a, b - a) for c in batch.columns[3:])],
-                    names=["doc_id", "held_out", "lang_pred", "score", *batch.schema.names[3:]],
+                    [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(lang, pa.string()), pa.array(score), pa.array(lettered), *(c.slice(a, b - a) for c in batch.columns[3:])],
+                    names=["doc_id", "held_out", "lang_pred", "score", "has_letters", *batch.schema.names[3:]],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     more = "".join(f", {f.name} {f.dataType.simpleString()}" for f in extra)
-    return docs.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double{more}")
+    return docs.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, has_letters boolean{more}")

@@ -33,8 +33,8 @@ BANDS = 32
 ROWS = 4
 #: Vertices of a block; a block pair is one unit of work.
 BLOCK = 1024
-#: Members that one task of block pairs gets on average.
-PER_TASK = 20_000
+#: Bytes of members that one task of block pairs gets on average.
+PER_TASK = 32 << 20
 
 _MULTIPLIERS = tb.mix(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -90,7 +90,7 @@ def signatures(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def signature_table(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, key (16 bytes), bands; the last two null for empty sets."""
+    """doc_id, digest, n_shingles, key (16 bytes), bands of (doc_id, text, digest); the last two null for empty sets."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,15 +105,16 @@ def signature_table(docs: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, b - a),
+                        batch.column(2).slice(a, b - a),
                         pa.array(n, pa.int64()),
                         pa.array(identities(x, first), pa.binary()),
                         pa.array(bands, pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "n_shingles", "key", "bands"],
+                    names=["doc_id", "digest", "n_shingles", "key", "bands"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(sign, f"doc_id {kind}, n_shingles long, key binary, bands array<long>")
+    return docs.mapInArrow(sign, f"doc_id {kind}, digest long, n_shingles long, key binary, bands array<long>")
 
 
 def set_table(docs: DataFrame, k: int) -> DataFrame:
@@ -171,17 +172,23 @@ def block_pairs(members: DataFrame, vertices: DataFrame, sets: DataFrame, labels
     equal halves, so no link is missed.
     """
     known = members.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
-    open_ = known.groupBy("band").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    per = known.groupBy("band", "label").agg(F.count("*").alias("n")).groupBy("band")
+    open_ = per.agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1")
+    open_ = open_.select("band", F.col("top.label").alias("most"), F.ceil(F.col("top.n") / BLOCK).alias("b1"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).alias("b2"))
+    # The largest component has blocks of its own, which are never compared with each other.
+    large = F.col("label") == F.col("most")
+    own = F.when(large, F.pmod(F.xxhash64("key"), F.col("b1"))).otherwise(F.col("b1") + F.pmod(F.xxhash64("key"), F.col("b2")))
     rows = (
         known.join(open_, "band")
-        .withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumn("own", own)
+        .withColumn("other", F.explode(F.sequence(F.when(large, F.col("b1")).otherwise(F.lit(0)), F.col("b1") + F.col("b2") - 1)))
         .select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("second"), "key", "label")
         .join(vertices, "key")
         .join(sets.select("key", "high"), "key")
     )
     rows = materialise(rows, "blocks")
-    tasks = max(1, -(-rows.count() // PER_TASK))
+    size = rows.agg(F.sum(F.length("high") + 8 * BANDS + 100)).first()[0] or 0
+    tasks = max(1, -(-size // PER_TASK))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -209,17 +216,18 @@ def block_pairs(members: DataFrame, vertices: DataFrame, sets: DataFrame, labels
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row per row of ``docs``.
+    """doc_id, n_shingles, component_id, kept, digest: one row per row of ``docs``.
 
     A document's set: its distinct ``k``-word shingles, A-Z in lower case. Null
     or wordless texts have an empty set and are linked with nothing. component_id
     is the smallest doc_id among linked documents, kept marks that one. Rows with
     a null doc_id take no part in links: component_id null, kept true. A repeated
-    row is a copy with the same doc_id. An empty table gives no rows; other
-    columns of ``docs`` are not looked at.
+    row is a copy with the same doc_id. digest, the xxhash64 of the text, leads
+    with doc_id back to the row. An empty table gives no rows; other columns of
+    ``docs`` are not looked at.
     """
     docs = pick(docs, doc_id=id_col, text=text_col)
-    table = materialise(signature_table(docs, k), "signatures")
+    table = materialise(signature_table(docs.withColumn("digest", F.xxhash64("text")), k), "signatures")
     named = table.where("doc_id is not null and key is not null")
     owners = materialise(named.groupBy("key").agg(F.min("doc_id").alias("owner"), F.first("bands").alias("bands")), "vertices")
     vertices = owners.select("key", "bands")
@@ -244,6 +252,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest = named_label.groupBy("label").agg(F.min("owner").alias("component_id"))
     of_key = owners.select("key", "owner").join(named_label.select("key", "label").join(smallest, "label").select("key", "component_id"), "key", "left")
     of_key = of_key.select("key", F.coalesce("component_id", "owner").alias("component_id"))
-    out = table.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key")).join(of_key, "key", "left")
+    out = table.select("doc_id", "digest", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key")).join(of_key, "key", "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "digest")

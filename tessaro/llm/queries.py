@@ -75,7 +75,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_near_duplicates")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents with five-word shingle similarity of 0.75 or more."""
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).drop("digest")
 
 
 @query("op3_substring_dedup")
@@ -117,7 +117,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_language_id")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of all documents."""
-    return langid.identify(table(spark, sf_dir, "documents"))
+    return langid.identify(table(spark, sf_dir, "documents")).drop("has_letters")
 
 
 @query("op7_html_main_text")

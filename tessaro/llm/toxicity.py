@@ -268,7 +268,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", train_ro
         part = known.where(F.col("y") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
         chosen = part if chosen is None else chosen.unionByName(part)
     # At most 2 * train_rows ids.
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y").dropDuplicates(["doc_id"]).collect()
+    rows = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y")).collect()
     rows.sort(key=lambda r: r["doc_id"])
     return fit([(r["text"], r["y"]) for r in rows])
 
@@ -286,7 +286,8 @@ def score_documents(
 
     Null and empty texts have no hits and score like any text without. Rows with
     a null doc_id are never learned from; held_out is null for them. A doc_id
-    with several labels has the largest. With no labels, or only one kind, all
+    with several labels has the largest, one with several texts is learned from
+    the first of them in the alphabet. With no labels, or only one kind, all
     scores are 0. An empty table gives no rows; other columns are not looked at.
     """
     docs = pick(docs, doc_id=id_col, text=text_col)

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql.functions import lit as F_lit
 
 from tessaro.llm import decontaminate, html_extract, langid, packing, quality, textbytes, toxicity
 
@@ -27,6 +28,27 @@ def test_language(spark, make):
     held = [r for r in got if r["held_out"]]
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in got)
     assert np.mean([r["lang_pred"] == lang[r["doc_id"]] for r in held]) > 0.95
+    # Every prediction against a loop over the text's windows.
+    some = docs.where("doc_id % 9 = 1")
+    net = langid.train(docs.select("doc_id", "text", "lang"), **small)
+    want = {}
+    for i, t in [(r[0], r[1]) for r in some.select("doc_id", "text").collect()]:
+        raw = "".join(c.lower() if c.isascii() else c for c in t or "").encode()
+        cut = [raw[k : k + langid.WINDOW] for k in range(0, len(raw), langid.WINDOW)]
+        if not re.search(r"[^\W\d_]", t or ""):
+            want[i] = ("und", 0.0)
+            continue
+        logits, _ = net.forward(np.array([list(c.ljust(langid.WINDOW, b"\0")) for c in cut], np.uint8))
+        p = np.exp(logits - logits.max(1, keepdims=True))
+        logs = np.log(p / p.sum(1, keepdims=True))
+        n = np.array([sum(b > 127 or chr(b).isalpha() for b in c) for c in cut])
+        z = (logs * n[:, None]).sum(0) / max(1, n.sum()) * min(4, len(cut))
+        z = np.exp(z - z.max())
+        want[i] = (net.langs[int(z.argmax())], float(z.max() / z.sum()))
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(some, train_on=docs, **small).collect()}
+    assert got.keys() == want.keys()
+    for i, (lang_, p) in want.items():
+        assert got[i][0] == lang_ and abs(got[i][1] - p) < 1e-3
     edge = langid.identify(make(EDGE), train_on=docs, train_rows=40).collect()
     assert len(edge) == len(EDGE) and {r["doc_id"] for r in edge if r["lang_pred"] == "und"} == {1, 2, 3}
     assert {r["lang_pred"] for r in langid.identify(make(EDGE)).collect()} == {"und"}
@@ -137,6 +159,43 @@ def test_toxicity(spark, make):
     assert toxicity.score_documents(make(EDGE).where("false"), labels).count() == 0
 
 
+def test_scores_equal_a_plain_loop():
+    """Terms by the edit distance to each of the lexicon, stems by their letters, and the features from these."""
+    import math
+
+    rows = [(f"you are an idiot number{i} go away now", 1) for i in range(60)] + [(f'he said "idiot" number{i} is a word', 0) for i in range(60)]
+    rows += [(f"plain text about things {i}", 0) for i in range(200)] + [(f"such worth{t} scum here {i}", 1) for i in range(12) for t in ("less", "lesss", "y", "ily", "ier")]
+    model = toxicity.fit(rows)
+    assert model.terms and model.stems
+    texts = ["", "you idiott", "an idoit and scum", "he wrote “worthily” of it", "scun! worthlesss idiots", "idiot " * 50, *(t for t, _ in rows[::7])]
+
+    def closest(token):
+        stem = [s for s in model.stems if token.startswith(s)]
+        near = min(((edits(token, t), t) for t in model.terms if edits(token, t) <= toxicity.edits_allowed(t)), default=None)
+        if near and (near[0] == 0 or not stem):
+            return near[1], near[0]
+        return (min(stem, key=len) + "*", 0) if stem else None
+
+    for text in texts:
+        found = [(m.start(), m.end(), m[0]) for m in re.finditer(r"[^\W\d_]+", text.lower())]
+        exact = fuzzy = best = context = quoted = n = 0.0
+        for i, (a, b, token) in enumerate(found):
+            m = closest(token)
+            if not m:
+                continue
+            n += 1
+            w = model.hit.get(m, 0.0)
+            around = [x for *_, x in found[max(0, i - 6) : i] + found[i + 1 : i + 7]]
+            quote = sum(x in toxicity.REPORTING for x in around) + sum(c in toxicity.QUOTES for c in text[max(0, a - 2) : a] + text[b : b + 2])
+            quoted += min(quote, 2) / 2
+            context += max(-3.0, min(3.0, sum(model.context.get(x, 0.0) for x in around)))
+            best = max(best, w)
+            exact, fuzzy = exact + w * (m[1] == 0), fuzzy + w * (m[1] > 0)
+        want = [best, math.log1p(exact), math.log1p(fuzzy), context / n, quoted / n, 100 * n / (len(found) + 20)] if n else [0.0] * 6
+        got, hits = model.features(text)
+        assert hits == n and np.allclose(got, want)
+
+
 def test_quotation_and_abuse_differ():
     rows = [(f"you are an idiot number{i} go away now", 1) for i in range(60)] + [(f'he said "idiot" number{i} is a word', 0) for i in range(60)] + [(f"plain text about things {i}", 0) for i in range(200)]
     model = toxicity.fit(rows)
@@ -466,3 +525,78 @@ def test_pipeline(spark, tmp_path):
     assert 9005 not in seen["near_duplicates"] and 9003 in seen["near_duplicates"] and 9003 not in seen["decontamination"]
     assert seen["packing"] == seen["secrets"] == seen["decontamination"]
     assert {r["doc_id"] for r in cp.run(spark, str(tmp_path)).collect()} == seen["packing"]
+
+
+def plain_pipeline(docs, bench):
+    """doc_id and text of what the pipeline packs, by the plain rules of its stages; languages of no labels reject nothing but texts without letters."""
+    from test_pairs import plain_components
+    from test_spans import plain_owned
+
+    rows = [r for r in docs if re.search(r"[^\W\d_]", r[1] or "")]
+    groups = plain_components([(r[0], r[1]) for r in rows])
+    seen, one = set(), []
+    for r in rows:
+        if r[0] is None or (groups[r[0]][1] == r[0] and (r[0], r[1]) not in seen):
+            seen.add((r[0], r[1]))
+            one.append(r)
+    leaks = {d for d, *_ in plain_leaks(bench, [(r[0], r[1]) for r in one])}
+    one = [r for r in one if r[0] not in leaks]
+    out = []
+    for r, (_, found) in zip(one, sorted_spans(one, plain_owned)):
+        marks = [(int(a), int(b), "secret") for _, a, b in (x.split(":") for x in found.split(",") if x)]
+        from tessaro.llm import spans
+
+        out.append((r[0], spans.replace(r[1], marks)))
+    return out
+
+
+def sorted_spans(rows, owned):
+    keyed = [(k, r[1], r[3]) for k, r in enumerate(rows)]
+    return owned(keyed)
+
+
+def test_pipeline_equals_the_plain_rules(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    leak = bench.orderBy("item_id").first()["text"]
+    some = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(70)
+    more = [(None, "a text without an id but with password=hunter2222", "en", None, None), (None, "a text without an id but with password=hunter2222", "en", None, None), (9001, None, "en", "s", 0), (9002, "12 34", None, "s", 5)]
+    more += [(9003, f"Intro here. {leak} And the end.", "en", "s", 9), (9004, "my password=hunter2222 is set in this file", "en", "b", 9), (9004, "my password=hunter2222 is set in this file", "en", "a", 9), (9005, "long " * 30000, "en", "s", 9)]
+    table = some.unionByName(spark.createDataFrame(more, some.schema)).withColumns({c: F_lit("clash") for c in ("key", "digest", "found", "row", "of", "masked", "packer")})
+    for labels in (True, False):
+        path = tmp_path / str(labels)
+        docs = table if labels else table.withColumn("lang", F_lit(None).cast("string"))
+        docs.write.parquet(str(path / "documents.parquet"))
+        bench.write.parquet(str(path / "benchmark.parquet"))
+        rows = [tuple(r[c] for c in cp.COLUMNS) for r in docs.collect()]
+        want = plain_pipeline(rows, [(r[0], r[1]) for r in bench.collect()])
+        now = docs
+        for k, (name, stage) in enumerate(cp.STAGES[:-1]):
+            stage(spark, now, str(path)).write.parquet(str(path / name))
+            now = spark.read.parquet(str(path / name))
+        assert sorted(map(repr, want)) == sorted(repr((r["doc_id"], r["text"])) for r in now.collect())
+        assert [r["source"] for r in now.where("doc_id = 9004").collect()] == ["a"]
+        assert all(r["n_chars"] == len(r["text"]) for r in now.where("text like '%<secret>%'").collect())
+        packed = cp.run(spark, str(path)).where("piece = 0").collect()
+        assert Counter(r["doc_id"] for r in packed) == Counter(i for i, _ in want)
+
+
+def test_pipeline_stages_on_an_empty_table(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
+    empty = spark.read.parquet(f"{SF}/documents.parquet").where("false")
+    for name, stage in cp.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0, name
+
+
+def test_scratch_tables_go(spark, tmp_path):
+    from tessaro.llm import storage
+
+    with storage.scratch("stay"):
+        one = storage.materialise(spark.range(3), "gone")
+        two = storage.materialise(one, "stay")
+    assert two.count() == 3 and any("stay-" in p for p in storage._WRITTEN) and not any("gone-" in p for p in storage._WRITTEN)
+    assert spark.conf.get(storage._CLEANUP, "false") == "false"
