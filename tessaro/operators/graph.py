@@ -228,15 +228,18 @@ def accessibility(dist: DataFrame, solutions: DataFrame) -> DataFrame:
 
 
 def centralities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, closeness, betweenness, eccentricity, degree): Brandes' algorithm per source over a broadcast graph.
+    """(node, closeness, betweenness, percolation, eccentricity, degree): Brandes' algorithm per source over a broadcast graph.
 
+    percolation: shares of betweenness weighted by the ``state`` of their source, 1 for all
+    nodes if there is no such column.
     The graph itself must fit a task; the sources are spread over all tasks and
     their shares of betweenness are summed by Spark.
     """
     if not _small(edges):
         raise ValueError(f"more than {LOCAL_EDGES} edges: cut the network first")
     graph = nodes.sparkSession.sparkContext.broadcast(_adjacency(edges))
-    n = nodes.count()
+    states = {r[0]: r[1] for r in nodes.select("node", F.col("state").cast("double") if "state" in nodes.columns else F.lit(1.0)).collect()}
+    n, total_state = len(states), sum(states.values())
 
     def brandes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         g = graph.value
@@ -263,23 +266,142 @@ def centralities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
                     for u in pred[v]:
                         delta[u] += sigma[u] / sigma[v] * (1 + delta[v])
                 total, m = sum(dist.values()), len(dist) - 1
-                out.append((s, m / total * m / (n - 1) if total and n > 1 else 0.0, 0.0, max(dist.values())))
-                out += ((v, 0.0, b, 0.0) for v, b in delta.items() if v != s and b)
-            yield pd.DataFrame(out, columns=["node", "closeness", "betweenness", "eccentricity"])
+                out.append((s, m / total * m / (n - 1) if total and n > 1 else 0.0, 0.0, 0.0, max(dist.values())))
+                for v, b in delta.items():
+                    if v != s and b:
+                        left = total_state - states[v]
+                        out.append((v, 0.0, b, b * states[s] / left / (n - 2) if left and n > 2 else 0.0, 0.0))
+            yield pd.DataFrame(out, columns=["node", "closeness", "betweenness", "percolation", "eccentricity"])
 
     kind = nodes.schema["node"].dataType.simpleString()
-    parts = nodes.select("node").mapInPandas(brandes, f"node {kind}, closeness double, betweenness double, eccentricity double")
-    got = parts.groupBy("node").agg(*[F.sum(c).alias(c) for c in ("closeness", "betweenness", "eccentricity")])
+    parts = nodes.select("node").mapInPandas(brandes, f"node {kind}, closeness double, betweenness double, percolation double, eccentricity double")
+    got = parts.groupBy("node").agg(*[F.sum(c).alias(c) for c in ("closeness", "betweenness", "percolation", "eccentricity")])
     deg = edges.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg((F.count("*") / max(n - 1, 1)).alias("degree"))
     return got.join(deg, "node", "left").fillna(0.0, ["degree"])
 
 
-def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 5) -> DataFrame:
-    """(node, community) by label propagation; ties go to the smallest label."""
-    both = edges.select(F.col("src").alias("a"), F.col("dst").alias("node")).unionByName(edges.select(F.col("dst").alias("a"), F.col("src").alias("node")))
-    labels = nodes.select("node", F.col("node").alias("community"))
-    for _ in range(rounds):
-        votes = both.join(labels.withColumnRenamed("node", "a"), "a").groupBy("node", "community").agg(F.count("*").alias("n"))
-        best = votes.groupBy("node").agg(F.max(F.struct("n", (-F.col("community")).alias("m"))).alias("b")).select("node", (-F.col("b.m")).alias("community"))
-        labels = labels.select("node", F.col("community").alias("_c")).join(best, "node", "left").select("node", F.coalesce("community", "_c").alias("community")).checkpoint()
-    return labels
+def communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, community, plateau) of largest modularity, by Louvain's moves on the undirected graph.
+
+    Communities are numbered from the largest on, ties by their smallest node; plateau
+    is the number as 0 to 1. Edges count once however often and whichever way they run.
+    The graph must fit one process (``LOCAL_EDGES``).
+    """
+    if not _small(edges):
+        raise ValueError(f"more than {LOCAL_EDGES} edges: cut the network first")
+    links = {(min(r["src"], r["dst"]), max(r["src"], r["dst"])) for r in edges.select("src", "dst").distinct().collect()}
+    vertices = sorted(r[0] for r in nodes.select("node").distinct().collect())
+    parts = sorted(louvain(vertices, links), key=lambda p: (-len(p), min(p)))
+    top = max(1, len(parts) - 1)
+    rows = [(v, i, i / top) for i, p in enumerate(parts) for v in sorted(p)]
+    return nodes.sparkSession.createDataFrame(rows, "node long, community int, plateau double")
+
+
+def modularity(links: set[tuple], group: dict) -> float:
+    """Newman's modularity of a partition of an undirected graph without weights."""
+    m = len(links)
+    inside, degree = defaultdict(int), defaultdict(int)
+    for a, b in links:
+        degree[group[a]] += 1
+        degree[group[b]] += 1
+        inside[group[a]] += group[a] == group[b]
+    return sum(inside[g] / m - (degree[g] / (2 * m)) ** 2 for g in degree) if m else 0.0
+
+
+def louvain(vertices: list, links: set[tuple]) -> list[set]:
+    """Sets of vertices: moves of single vertices, then of whole sets, as long as modularity rises."""
+    members = {v: {v} for v in vertices}
+    weight: dict = {v: defaultdict(float) for v in vertices}
+    for a, b in links:
+        weight[a][b] += 1
+        if a != b:
+            weight[b][a] += 1
+    total = sum(sum(w.values()) + w.get(v, 0.0) for v, w in weight.items())  # a loop counts twice
+    while total:
+        group = {v: v for v in weight}
+        degree = {v: sum(w.values()) + w.get(v, 0.0) for v, w in weight.items()}
+        sums, moved, any_move = dict(degree), True, False
+        while moved:
+            moved = False
+            for v in sorted(weight):
+                to = defaultdict(float)
+                for u, w in weight[v].items():
+                    if u != v:
+                        to[group[u]] += w
+                sums[group[v]] -= degree[v]
+                gain = {g: w - sums[g] * degree[v] / total for g, w in to.items()}
+                stay = gain.get(group[v], -sums[group[v]] * degree[v] / total)
+                best = max(gain, key=lambda g: (gain[g], -g), default=group[v])
+                if gain.get(best, stay) > stay + 1e-12:
+                    group[v], moved, any_move = best, True, True
+                sums[group[v]] += degree[v]
+        if not any_move:
+            break
+        merged, next_weight = defaultdict(set), defaultdict(lambda: defaultdict(float))
+        for v in weight:
+            merged[group[v]] |= members[v]
+            own = next_weight[group[v]]
+            for u, w in weight[v].items():
+                if group[u] != group[v]:
+                    own[group[u]] += w
+                else:
+                    own[group[v]] += w if u == v else w / 2
+        members, weight = dict(merged), dict(next_weight)
+    return list(members.values())
+
+
+def closest_edges(nodes: DataFrame, edges: DataFrame, cell: float) -> DataFrame:
+    """(src, dst, weight): for nodes (node, x, y) of one direction only, the missing direction to or from the closest other node."""
+    from .spatial import nearest
+
+    bad = connectivity(nodes, edges).where("category in ('only_in', 'only_out')").select("node", "category")
+    points = nodes.join(bad, "node").select(F.col("node").alias("id"), "x", "y")
+    near = nearest(points, nodes.select(F.col("node").alias("fid"), F.col("x").alias("fx"), F.col("y").alias("fy")), cell, exclude_self=True)
+    got = near.join(bad.withColumnRenamed("node", "id"), "id").where("fid is not null")
+    out = F.col("category") == "only_in"
+    return got.select(F.when(out, F.col("id")).otherwise(F.col("fid")).alias("src"), F.when(out, F.col("fid")).otherwise(F.col("id")).alias("dst"), F.col("dist").alias("weight"))
+
+
+def prepare(nodes: DataFrame, edges: DataFrame, cell: float) -> DataFrame:
+    """(src, dst, weight, edge_type, reversed): the street graph with every dead end opened and its components joined.
+
+    nodes: node, x, y, altitude; edges: src, dst, weight. One-way nodes get an edge
+    to or from their closest node (``new``); every edge between components gets its
+    reverse. Needs a checkpoint folder.
+    """
+    new = closest_edges(nodes, edges, cell)
+    every = edges.select("src", "dst", "weight", F.lit("old").alias("edge_type")).unionByName(new.select("src", "dst", "weight", F.lit("new").alias("edge_type"))).checkpoint()
+    joined = join_components(every, strong_components(nodes, every))
+    kinds = every.groupBy("src", "dst", "weight").agg(F.min("edge_type").alias("edge_type"))
+    return joined.join(kinds, ["src", "dst", "weight"], "left").select("src", "dst", "weight", F.coalesce("edge_type", F.lit("old")).alias("edge_type"), "reversed").distinct()
+
+
+def mark_selected(nodes: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Nodes with selected 1 or 0."""
+    flag = chosen.select("node").distinct().withColumn("selected", F.lit(1))
+    return nodes.join(flag, "node", "left").fillna(0, ["selected"])
+
+
+def selected_distances(dist: DataFrame, solutions: DataFrame) -> DataFrame:
+    """(sol, node, other, d_out, d_in) between the nodes of each solution; null where there is no path."""
+    a, b = solutions.select("sol", "node"), solutions.select("sol", F.col("node").alias("other"))
+    pairs = a.join(b, "sol").where("node <> other")
+    out = pairs.join(dist.select(F.col("src").alias("node"), F.col("dst").alias("other"), F.col("d").alias("d_out")), ["node", "other"], "left")
+    return out.join(dist.select(F.col("dst").alias("node"), F.col("src").alias("other"), F.col("d").alias("d_in")), ["node", "other"], "left").select("sol", "node", "other", "d_out", "d_in")
+
+
+def solution_paths(dist: DataFrame, solutions: DataFrame) -> DataFrame:
+    """(sol, src, dst, d, path) of every ordered pair of a solution's nodes."""
+    a, b = solutions.select("sol", F.col("node").alias("src")), solutions.select("sol", F.col("node").alias("dst"))
+    return a.join(dist, "src").join(b, ["sol", "dst"]).where("src <> dst").select("sol", "src", "dst", "d", "path")
+
+
+def sampled_paths(nodes: DataFrame, edges: DataFrame, size: int, seed: int = 0) -> DataFrame:
+    """(src, dst, d, path) over a sample of the nodes and the edges between them, taken as undirected.
+
+    The sample is the feature here: the nodes with the smallest hashes, the same at every run.
+    """
+    few = nodes.select("node").orderBy(F.xxhash64("node", F.lit(seed)), "node").limit(size)
+    inner = edges.join(few.withColumnRenamed("node", "src"), "src", "left_semi").join(few.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    both = inner.select("src", "dst", "weight").unionByName(inner.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+    return shortest_paths(few, both)

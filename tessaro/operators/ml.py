@@ -18,9 +18,9 @@ from .stats import errors
 MODELS = {
     "linear_regression": lambda seed: LinearRegression(solver="normal"),
     "elastic_net": lambda seed: LinearRegression(regParam=0.05, elasticNetParam=0.5, standardization=False),
-    "random_forest": lambda seed: RandomForestRegressor(numTrees=100, maxDepth=12, minInstancesPerNode=3, seed=seed),
-    "gradient_boosting": lambda seed: GBTRegressor(stepSize=0.05, maxDepth=4, maxIter=100, seed=seed),
-    "boosting_subsampled": lambda seed: GBTRegressor(stepSize=0.04, maxDepth=4, maxIter=100, subsamplingRate=0.85, seed=seed),
+    "random_forest": lambda seed: RandomForestRegressor(numTrees=500, maxDepth=30, minInstancesPerNode=3, seed=seed),
+    "gradient_boosting": lambda seed: GBTRegressor(stepSize=0.05, maxDepth=4, maxIter=300, seed=seed),
+    "boosting_subsampled": lambda seed: GBTRegressor(stepSize=0.04, maxDepth=4, maxIter=400, subsamplingRate=0.85, seed=seed),
 }
 SCALED = ("linear_regression", "elastic_net")
 

@@ -8,29 +8,42 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .stats import quantiles
+
 METHODS = ("minmax", "0-max", "zscore", "robust", "log", "boxcox")
 
 
-def boxcox_lambda(df: DataFrame, column: str, lo: float = -5.0, hi: float = 5.0, grid: int = 41, rounds: int = 4) -> float:
-    """The maximum-likelihood lambda; each round is one aggregate over a grid that closes in."""
+def boxcox_lambda(df: DataFrame, column: str, lo: float = -5.0, hi: float = 5.0, grid: int = 41, rounds: int = 4) -> tuple[float, float]:
+    """(the maximum-likelihood lambda, the geometric mean); each round is one aggregate over a grid that closes in.
+
+    Values are divided by their geometric mean first, which changes no likelihood but
+    keeps large powers apart from each other.
+    """
     x = df.select(F.when(F.col(column) == 0, 1e-6).otherwise(F.col(column).cast("double")).alias("x")).where("x > 0")
+    mean = x.agg(F.avg(F.log("x"))).first()[0]
+    if mean is None:
+        return 1.0, 1.0
+    centre = math.exp(mean)
+    x = x.select((F.col("x") / F.lit(centre)).alias("x"))
     for _ in range(rounds):
         lams = np.linspace(lo, hi, grid)
-        y = lambda la: F.log("x") if abs(la) < 1e-12 else (F.pow("x", F.lit(float(la))) - 1) / F.lit(float(la))
-        row = x.agg(F.count("x").alias("n"), F.sum(F.log("x")).alias("s"), *[F.var_pop(y(la)).alias(f"v{i}") for i, la in enumerate(lams)]).first()
-        if not row["n"]:
-            return 1.0
-        like = [(la - 1) * row["s"] - row["n"] / 2 * math.log(row[f"v{i}"]) if row[f"v{i}"] and math.isfinite(row[f"v{i}"]) else -math.inf for i, la in enumerate(lams)]
+        row = x.agg(*[F.var_pop(_power("x", float(la))).alias(f"v{i}") for i, la in enumerate(lams)]).first()
+        like = [-math.log(row[f"v{i}"]) if row[f"v{i}"] and math.isfinite(row[f"v{i}"]) else -math.inf for i in range(grid)]
         best = int(np.argmax(like))
         lo, hi = lams[max(0, best - 1)], lams[min(grid - 1, best + 1)]
-    return float((lo + hi) / 2)
+    return float((lo + hi) / 2), centre
+
+
+def _power(x, la: float):
+    """The Box-Cox transform up to a constant."""
+    return F.log(x) if abs(la) < 1e-9 else F.pow(x, F.lit(la)) / F.lit(la)
 
 
 def normalize(df: DataFrame, column: str, method: str, name: str | None = None) -> DataFrame:
     """``column`` as 0 to 1 in ``name``; prefix ``inverted_`` gives 1 - x. Constant columns are 0 either way.
 
-    One aggregate of a single row is joined to the table; nothing is sorted but
-    the exact quartiles of ``robust``.
+    One aggregate of a single row is joined to the table; the exact quartiles of
+    ``robust`` come from counts within value ranges.
     """
     inverted, base = method.startswith("inverted_"), method.removeprefix("inverted_")
     if base not in METHODS:
@@ -39,15 +52,15 @@ def normalize(df: DataFrame, column: str, method: str, name: str | None = None)
     if base == "log":
         t = F.log1p(v)
     elif base == "boxcox":
-        la = boxcox_lambda(df, column)
-        x = F.when(v == 0, 1e-6).otherwise(v)
-        t = F.log(x) if abs(la) < 1e-9 else (F.pow(x, F.lit(la)) - 1) / F.lit(la)
+        la, centre = boxcox_lambda(df, column)
+        t = _power(F.when(v == 0, 1e-6).otherwise(v) / F.lit(centre), la)
     elif base == "zscore":
         t = v
     else:
         t = v
     if base == "robust":
-        one = df.agg(F.expr(f"percentile({column}, array(0.25, 0.5, 0.75))").alias("_q")).select(F.col("_q")[1].alias("_lo"), (F.col("_q")[2] - F.col("_q")[0]).alias("_d"))
+        q1, median, q3 = quantiles(df, [column], [0.25, 0.5, 0.75])[column]
+        one = df.sparkSession.createDataFrame([(median, None if q1 is None else q3 - q1)], "_lo double, _d double")
     elif base == "0-max":
         one = df.agg(F.lit(0.0).alias("_lo"), F.max(t).alias("_d"))
     elif base == "zscore":  # scaling to 0..1 undoes mean and deviation; a constant column has none

@@ -20,6 +20,8 @@ from . import graph
 
 #: Candidate nodes up to which the search takes a broadcast of all of them.
 MAX_NODES = 20_000
+#: Conflicting pairs that reach the driver, and nodes whose distances to each other do, at most.
+MAX_PAIRS, MAX_MATRIX = 20_000_000, 4_000
 
 
 def conflicts(dist: DataFrame, minimum: float) -> DataFrame:
@@ -85,7 +87,7 @@ def greedy_top(nodes: DataFrame, n: int) -> DataFrame:
 class Search:
     """Candidates of one instance as arrays: scores and the neighbours that conflict."""
 
-    def __init__(self, nodes: DataFrame, near: DataFrame):
+    def __init__(self, nodes: DataFrame, near: DataFrame, dist: DataFrame | None = None):
         rows = nodes.select("node", "norm_score").orderBy("node").limit(MAX_NODES + 1).collect()
         if len(rows) > MAX_NODES:
             raise ValueError(f"more than {MAX_NODES} candidates: split the area")
@@ -93,10 +95,59 @@ class Search:
         self.score = np.array([float(r[1] or 0) for r in rows])
         at = {int(v): i for i, v in enumerate(self.ids)}
         self.near: list[set[int]] = [set() for _ in rows]
+        if near.count() > MAX_PAIRS:
+            raise ValueError(f"more than {MAX_PAIRS} conflicting pairs: split the area")
         for a, b in near.toLocalIterator():
             if a in at and b in at:
                 self.near[at[a]].add(at[b])
         self.at = at
+        self.dist: np.ndarray | None = None
+        if dist is not None:
+            if len(rows) > MAX_MATRIX:
+                raise ValueError(f"more than {MAX_MATRIX} candidates for a distance matrix: split the area")
+            self.dist = np.full((len(rows), len(rows)), np.inf)
+            for a, b, v in dist.select("src", "dst", "d").toLocalIterator():
+                if a in at and b in at:
+                    self.dist[at[a], at[b]] = v
+
+    def metrics(self, sol: list[int]) -> tuple[float, float]:
+        """(dispersion, accessibility) of a solution, from the matrix."""
+        inner = self.dist[np.ix_(sol, sol)]
+        rest = np.setdiff1d(np.arange(len(self.ids)), sol)
+        trip = self.dist[np.ix_(rest, sol)] + self.dist[np.ix_(sol, rest)].T
+        return float(inner[np.isfinite(inner)].sum()), float(sum(x for x in trip.min(1) if np.isfinite(x))) if len(rest) and len(sol) else 0.0
+
+    def scorer(self, alpha: float, disp_bounds: tuple, acc_bounds: tuple, how: str = "multiply", power: float = 1.0):
+        """The value of a solution: its node score and graph score combined, as :func:`fitness` has it."""
+
+        def inverted(v: float, b: tuple) -> float:
+            return 1.0 - ((v - b[0]) / (b[1] - b[0]) if b[1] != b[0] else 0.0)
+
+        def value(sol: list[int]) -> float:
+            disp, acc = self.metrics(sol)
+            graph_score = alpha * inverted(disp, disp_bounds) + (1 - alpha) * inverted(acc, acc_bounds)
+            node = float(self.score[sol].sum())
+            return node * graph_score if how == "multiply" else node**graph_score if how == "exponential" else node * graph_score**power
+
+        return value
+
+    def closest_feasible(self, size: int) -> list[int]:
+        """The node of the largest total distance and the feasible nodes closest to it: far from everything else."""
+        total = self.dist.sum(0) + self.dist.sum(1)
+        first = int(np.argmax(np.where(np.isfinite(total), total, -1)))
+        return self.fill([first], np.lexsort((self.ids, self.dist[first])), size)
+
+    def bounds(self, size: int, spread: list[int] | None = None) -> tuple[tuple[float, float], tuple[float, float]]:
+        """((min, max) dispersion, (min, max) accessibility) estimates for solutions of ``size``.
+
+        From below N (N - 1) shortest distances, and the accessibility of ``spread``
+        (nodes that represent all, else the greedy dispersed choice); from above the greedy dispersed choice and
+        the closest feasible nodes.
+        """
+        apart = self.dist[np.isfinite(self.dist) & (self.dist > 0)]
+        wide = greedy_dispersion(np.where(np.isfinite(self.dist), self.dist, 0.0), size)
+        low = self.metrics(spread or wide)[1]
+        return (min_dispersion_bound(size, float(apart.min()) if len(apart) else 0.0), self.metrics(wide)[0]), (low, max(low, self.metrics(self.closest_feasible(size))[1]))
 
     def fill(self, chosen: list[int], order, size: int) -> list[int]:
         """Adds feasible nodes in ``order`` until ``size``."""
@@ -120,9 +171,15 @@ class Search:
                 return out
         return out
 
-    def crossover(self, rng, a: list[int], b: list[int], size: int, required: list[int] = (), how: str = "greedy") -> list[int]:
-        """A child of the parents' nodes: best first, by weighted chance, or the shuffled top quarter first."""
+    def crossover(self, rng, a: list[int], b: list[int], size: int, required: list[int] = (), how: str = "greedy", value=None) -> list[int]:
+        """A child of the parents' nodes: best first, by weighted chance, the shuffled top quarter first, or segmented.
+
+        Segmented: the first nodes are those that raise ``value`` most, the rest go by score.
+        """
         pool = np.array(sorted((set(a) | set(b)) - set(required)), int)
+        if how == "segmented":
+            start = self.fill_exactly(list(required), pool, segment(size), value or (lambda sol: float(self.score[sol].sum())))
+            return self.fill(self.crossover(rng, a, b, size, start), rng.permutation(len(self.ids)), size)
         by_score = pool[np.lexsort((self.ids[pool], -self.score[pool]))]
         if how == "greedy":
             order = by_score
@@ -135,6 +192,16 @@ class Search:
             raise ValueError(f"unknown crossover: {how}")
         return self.fill(self.fill(list(required), order, size), rng.permutation(len(self.ids)), size)
 
+    def fill_exactly(self, chosen: list[int], pool: np.ndarray, more: int, value) -> list[int]:
+        """Adds ``more`` feasible nodes of ``pool``, each the one with which the solution's value is largest."""
+        for _ in range(more):
+            banned = set(chosen).union(*(self.near[i] for i in chosen)) if chosen else set()
+            free = [int(i) for i in pool if i not in banned]
+            if not free:
+                break
+            chosen = [*chosen, max(free, key=lambda i: (value([*chosen, i]), -self.ids[i]))]
+        return chosen
+
     def mutate(self, rng, sol: list[int], rate: float, required: list[int] = (), most: float = 0.2) -> list[int]:
         """Replaces positions by chance, at most a fifth of them, keeping the constraint and the required nodes."""
         hit = [i for i in sol if i not in set(required) and rng.random() < rate][: max(1, int(most * len(sol)))]
@@ -179,35 +246,105 @@ def population(spark: SparkSession, search: Search, count: int, size: int, requi
     return spark.range(count).mapInPandas(build, "sol long, nodes array<long>")
 
 
-def genetic(search: Search, size: int, population_size: int = 20, generations: int = 30, elite: float = 0.2, rate: float = 0.1, patience: int = 300, required: list[int] = (), seed: int = 0, how: str = "greedy", score=None) -> tuple[list[int], list[float]]:
-    """(best nodes, best score of each generation) by elites, tournament parents, crossover and mutation."""
+def segment(size: int) -> int:
+    """How many nodes of a segmented child are chosen exactly."""
+    return size // 2 if size <= 20 else size // 3 if size <= 50 else size // 4
+
+
+def parents(rng, fit: np.ndarray, selection: str, rivals: int = 5) -> tuple[int, int]:
+    """Two places of a population: winners of tournaments, or by chance in proportion to fitness."""
+    if selection == "roulette":
+        weight = np.clip(fit, 0, None)
+        p = weight / weight.sum() if np.count_nonzero(weight) > 1 else None
+        a, b = rng.choice(len(fit), 2, replace=len(fit) < 2, p=p)
+        return int(a), int(b)
+    if selection != "tournament":
+        raise ValueError(f"unknown selection: {selection}")
+    one = lambda: max(rng.choice(len(fit), min(rivals, len(fit)), replace=False), key=lambda i: fit[i])
+    return int(one()), int(one())
+
+
+def genetic(search: Search, size: int, population_size: int = 20, generations: int = 30, elite: float = 0.2, rate: float = 0.1, patience: int = 300, required: list[int] = (), seed: int = 0, how: str = "greedy", score=None, selection: str = "tournament") -> tuple[list[int], list[float]]:
+    """(best nodes, best score so far after each generation) by elites, parents, crossover and mutation.
+
+    Ends early when neither the best nor the average score has risen for ``patience``
+    generations. ``elite`` counts parents in pairs: half of that share is kept.
+    """
     rng = np.random.default_rng(seed)
     req = [search.at[r] for r in required]
     value = score or (lambda sol: float(search.score[sol].sum()))
     pop = [s for s in (search.random(rng, size, req) for _ in range(population_size)) if len(s) == size]
     if not pop:
         return [], []
-    history, stale = [], 0
+    best, top, average, history = pop[0], -np.inf, -np.inf, []
+    stale = [0, 0]
     for _ in range(generations):
         fit = np.array([value(s) for s in pop])
         order = np.argsort(-fit, kind="stable")
-        stale = stale + 1 if history and fit[order[0]] <= history[-1] + 1e-12 else 0
-        history.append(float(fit[order[0]]))
-        if stale >= patience:
+        stale = [0 if now > seen + 1e-12 else n + 1 for now, seen, n in ((fit[order[0]], top, stale[0]), (fit.mean(), average, stale[1]))]
+        if fit[order[0]] > top:
+            best, top = pop[order[0]], float(fit[order[0]])
+        average = max(average, float(fit.mean()))
+        history.append(top)
+        if min(stale) >= patience:
             break
-        keep = [pop[i] for i in order[: max(1, int(elite * len(pop)))]]
+        keep = [pop[i] for i in order[: max(1, int(elite * population_size / 2))]]
         children = []
         while len(keep) + len(children) < population_size:
-            pick = [pop[max(rng.choice(len(pop), min(5, len(pop)), replace=False), key=lambda i: fit[i])] for _ in range(2)]
-            child = search.mutate(rng, search.crossover(rng, *pick, size, req, how), rate, req)
-            children.append(child if len(child) == size else pick[0])
+            a, b = (pop[i] for i in parents(rng, fit, selection))
+            child = search.mutate(rng, search.crossover(rng, a, b, size, req, how, value), rate, req)
+            children.append(child if len(child) == size else a)
         pop = keep + children
-    best = max(pop, key=value)
     return search.ids[best].tolist(), history
 
 
-def grid_search(spark: SparkSession, search: Search, size: int, grid: dict[str, list], done: DataFrame | None = None, seed: int = 0) -> DataFrame:
-    """(experiment, params, best_score, generations, nodes) of every parameter row that is not in ``done``."""
+def screen(spark: SparkSession, search: Search, variables: np.ndarray, names: list[str], scenarios: dict[str, dict[str, float]], alphas: list[float], size: int, required: list[int] = (), seed: int = 0, **options) -> DataFrame:
+    """(scenario, alpha, best_score, generations, nodes): a search per scenario of variable weights and alpha, one task each.
+
+    variables: a row per candidate of ``search``, in its order. Node scores are the
+    weighted sums as 0 to 1; ``required`` nodes are in every solution (an expansion).
+    """
+    shared = spark.sparkContext.broadcast((search, variables))
+    rows = [(s, float(a)) for s in scenarios for a in alphas]
+
+    def run(batches):
+        base, table = shared.value
+        for pdf in batches:
+            out = []
+            for s, a in zip(pdf["scenario"], pdf["alpha"]):
+                one = with_scores(base, table @ np.array([scenarios[s].get(n, 0.0) for n in names]))
+                nodes, history = genetic(one, size, required=list(required), seed=seed, score=one.scorer(a, *one.bounds(size)), **options)
+                out.append((s, a, history[-1] if history else None, len(history), nodes))
+            yield pd.DataFrame(out, columns=["scenario", "alpha", "best_score", "generations", "nodes"])
+
+    todo = spark.createDataFrame(rows, "scenario string, alpha double").repartition(max(1, len(rows)))
+    return todo.mapInPandas(run, "scenario string, alpha double, best_score double, generations int, nodes array<long>")
+
+
+def with_scores(search: Search, raw: np.ndarray) -> Search:
+    """The same instance with other node scores, scaled to 0 to 1."""
+    out = object.__new__(Search)
+    out.__dict__ |= search.__dict__
+    low, high = float(raw.min()), float(raw.max())
+    out.score = (raw - low) / (high - low) if high > low else np.zeros(len(raw))
+    return out
+
+
+def rank_variables(spark: SparkSession, search: Search, variables: np.ndarray, names: list[str], size: int) -> DataFrame:
+    """(variable, dispersion, accessibility, nodes): the exact solution of each variable alone, the least dispersed first."""
+    rows = []
+    for k, n in enumerate(names):
+        sol = with_scores(search, variables[:, k]).exact(size)
+        rows.append((n, *search.metrics(sol), sorted(int(search.ids[i]) for i in sol)))
+    rows.sort(key=lambda r: (r[1], r[2], r[0]))
+    return spark.createDataFrame(rows, "variable string, dispersion double, accessibility double, nodes array<long>")
+
+
+def grid_search(spark: SparkSession, search: Search, size: int, grid: dict[str, list], done: DataFrame | None = None, seed: int = 0, alpha: float | None = None) -> DataFrame:
+    """(experiment, params, best_score, generations, nodes) of every parameter row that is not in ``done``.
+
+    With ``alpha`` solutions are valued by node and graph score together.
+    """
     names = sorted(grid)
     rows = [dict(zip(names, v)) for v in product(*(grid[n] for n in names))]
     rows = [r for r in rows if 0 <= r.get("rate", 0) <= 1 and int(r.get("elite", 0.2) * r.get("population_size", 20)) >= 2]
@@ -221,7 +358,9 @@ def grid_search(spark: SparkSession, search: Search, size: int, grid: dict[str,
         for pdf in batches:
             out = []
             for i, p in zip(pdf["experiment"], pdf["params"]):
-                nodes, history = genetic(shared.value, size, seed=seed, **rows[i])
+                one = shared.value
+                score = None if alpha is None else one.scorer(alpha, *one.bounds(size))
+                nodes, history = genetic(one, size, seed=seed, score=score, **rows[i])
                 out.append((i, p, history[-1] if history else None, len(history), nodes))
             yield pd.DataFrame(out, columns=["experiment", "params", "best_score", "generations", "nodes"])
 

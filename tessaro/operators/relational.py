@@ -46,20 +46,27 @@ def full_chain(tables: list[DataFrame], key: str) -> DataFrame:
 
 
 def latest(df: DataFrame, keys: list[str], order: str, tie: str | None = None) -> DataFrame:
-    """The newest row of each key; a null time counts as the newest."""
-    by = [F.col(order).desc_nulls_first(), *([F.col(tie).desc()] if tie else [])]
-    w = Window.partitionBy(*keys).orderBy(*by)
-    return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """The newest row of each key; a null time counts as the newest. One aggregate: a hot key is a partial maximum in each task."""
+    by = F.struct(F.col(order).isNull(), F.col(order), *([F.col(tie)] if tie else []))
+    return _one_per_key(df, keys, F.max_by, by)
 
 
 def first_of(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """One row per key, the first in a stated order."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+    """One row per key, the smallest in the order of some columns (nulls first); further ties are broken by the other columns."""
+    rest = [F.col(c) for c in df.columns if c not in keys and not df.schema[c].dataType.typeName() == "map"]
+    return _one_per_key(df, keys, F.min_by, F.struct(*[c.alias(f"o{i}") for i, c in enumerate([*order, *rest])]))
+
+
+def _one_per_key(df: DataFrame, keys: list[str], pick, by: Column) -> DataFrame:
+    rest = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(pick(F.struct(*rest), by).alias("_r")).select(*[F.col(c) if c in keys else F.col("_r")[c].alias(c) for c in df.columns])
 
 
 def duplicate_rows(df: DataFrame, keys: list[str]) -> DataFrame:
-    """All rows of keys that occur more than once, with their count."""
-    return df.withColumn("n_rows", F.count("*").over(Window.partitionBy(*keys))).where("n_rows > 1")
+    """All rows of keys that occur more than once, with their count; counts are aggregated before they are joined back."""
+    more = df.groupBy(*keys).agg(F.count("*").alias("n_rows")).where("n_rows > 1").withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return df.join(more, same).drop(*[f"_{k}" for k in keys])
 
 
 def duplicate_counts(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,6 +7,8 @@ touch. Counts are 0 and distances null where nothing matches.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -190,3 +192,68 @@ def grid_slopes(grid: DataFrame, step: float) -> DataFrame:
     shifted = grid.select("i", "j", F.col("altitude").alias("other"), F.explode(moves).alias("m")).select((F.col("i") + F.col("m.di")).alias("i"), (F.col("j") + F.col("m.dj")).alias("j"), "other")
     slope = F.abs(F.col("other") - F.col("altitude")) / F.lit(float(step)) * 100
     return grid.join(shifted, ["i", "j"]).groupBy("i", "j").agg(F.avg(slope).alias("avg_slope"), F.max(slope).alias("max_slope"))
+
+
+def corner_distance(minx: Column, miny: Column, maxx: Column, maxy: Column) -> Column:
+    """The largest distance from a corner of a box to the box (b_minx, b_miny, b_maxx, b_maxy); 0 if that holds it."""
+    dx = F.greatest(F.col("b_minx") - minx, maxx - F.col("b_maxx"), F.lit(0.0))
+    dy = F.greatest(F.col("b_miny") - miny, maxy - F.col("b_maxy"), F.lit(0.0))
+    left, right = F.greatest(F.col("b_minx") - minx, F.lit(0.0)), F.greatest(maxx - F.col("b_maxx"), F.lit(0.0))
+    low, high = F.greatest(F.col("b_miny") - miny, F.lit(0.0)), F.greatest(maxy - F.col("b_maxy"), F.lit(0.0))
+    return F.greatest(dx, dy, *[F.hypot(a, b) for a in (left, right) for b in (low, high)])
+
+
+def buffer_steps(first: float = 50.0, more: float = 10.0, last: float = 500.0) -> list[float]:
+    """The radii after each retry: each step's buffer grows the result of the one before it."""
+    out, total, step = [], 0.0, first
+    while step <= last:
+        total += step
+        out.append(total)
+        step += more
+    return out
+
+
+def assign_with_growing_buffers(areas: DataFrame, zones: DataFrame, cell: float, steps: list[float] | None = None) -> DataFrame:
+    """(id, zid, step) of boxes (id, minx..maxy): the zone that holds the box, else the zone whose buffer holds it at the earliest step.
+
+    A convex zone's buffer holds a box if it holds its corners, so the step needed
+    is known from one distance and no buffer is built. Of several zones at a step
+    the nearest counts, then the smallest zid; null where no step is enough.
+    """
+    steps = steps or buffer_steps()
+    left = boxes_on_grid(areas.select("id", "minx", "miny", "maxx", "maxy"), cell)
+    names = {c: f"b_{c}" for c in ("minx", "miny", "maxx", "maxy")}
+    right = boxes_on_grid(zones.select("zid", *names), cell, steps[-1]).withColumnsRenamed(names)
+    need = corner_distance(*[F.col(c) for c in names])
+    met = left.join(right, ["cx", "cy"]).withColumn("need", need).where(F.col("need") <= steps[-1])
+    step = F.when(F.col("need") == 0, 0).otherwise(1 + F.size(F.filter(F.array(*map(F.lit, steps)), lambda r: r < F.col("need"))))
+    best = met.groupBy("id").agg(F.min(F.struct(step.alias("step"), "need", "zid")).alias("b")).select("id", "b.zid", "b.step")
+    return areas.select("id").join(best, "id", "left")
+
+
+def building_area(kind: Column, area: Column, radius: float = 10.0) -> Column:
+    """A building's area; a point counts as the polygon of 64 corners that stands for its circle."""
+    circle = 32 * math.sin(2 * math.pi / 64) * radius * radius
+    return F.when(F.lower(kind) == "point", F.lit(circle)).otherwise(area)
+
+
+def cells_touching(cells: DataFrame, boxes: DataFrame, cell: float) -> DataFrame:
+    """The cells (cell, minx..maxy) that share a point with a box."""
+    names = {c: f"b_{c}" for c in ("minx", "miny", "maxx", "maxy")}
+    left = boxes_on_grid(cells, cell)
+    right = boxes_on_grid(boxes.select(*names), cell).withColumnsRenamed(names)
+    hit = left.join(right, ["cx", "cy"]).where("minx <= b_maxx and maxx >= b_minx and miny <= b_maxy and maxy >= b_miny")
+    return cells.join(hit.select("cell").distinct(), "cell", "left_semi")
+
+
+def clip_to_box(points: DataFrame, minx: float, miny: float, maxx: float, maxy: float, clamp: list[str] = ()) -> DataFrame:
+    """The points inside a box; negative values of ``clamp`` become 0."""
+    inside = F.col("x").between(minx, maxx) & F.col("y").between(miny, maxy)
+    return points.where(inside).withColumns({c: F.greatest(F.col(c), F.lit(0)) for c in clamp})
+
+
+def usual_place(sightings: DataFrame) -> DataFrame:
+    """(id, x, y): where each id was seen most often; of equally frequent places the smallest."""
+    n = sightings.groupBy("id", "x", "y").agg(F.count("*").alias("n"))
+    best = n.groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("n"), "x", "y")).alias("b"))
+    return best.select("id", "b.x", "b.y")

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import mid_rank, value_ranks
+from .ranking import mid_ranks, ranks_of
 
 
 def coverage(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -20,10 +20,7 @@ def coverage(df: DataFrame, columns: list[str]) -> DataFrame:
 def correlation(df: DataFrame, a: str, b: str, min_pairs: int = 10) -> DataFrame:
     """One row: n, pearson, spearman over the rows with both values; null below ``min_pairs``."""
     both = df.select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")).where("a is not null and b is not null")
-    ranked = both
-    for c in ("a", "b"):  # both sets of ranks come from the pairs themselves, not from each other
-        r = value_ranks(both, c).select(F.col("v").alias(c), (F.col("below") + (F.col("ties") + 1) / 2).alias(f"r{c}"))
-        ranked = ranked.join(r, c)
+    ranked = mid_ranks(both, ["a", "b"], "r")  # both sets of ranks come from the pairs themselves
     enough = F.count("*") >= min_pairs
     return ranked.agg(F.count("*").alias("n"), F.when(enough, F.corr("a", "b")).alias("pearson"), F.when(enough, F.corr("ra", "rb")).alias("spearman"))
 
@@ -39,8 +36,7 @@ def correlation_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
 def spearman_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
     """(feature_a, feature_b, r): Spearman on rows without nulls."""
     full = df.select(*columns).dropna()
-    for c in columns:
-        full = mid_rank(full, c, f"_r_{c}")
+    full = mid_ranks(full, columns, "_r_")
     pairs = correlation_pairs(full, [f"_r_{c}" for c in columns])
     return pairs.select(F.expr("substring(feature_a, 4)").alias("feature_a"), F.expr("substring(feature_b, 4)").alias("feature_b"), "r")
 
@@ -63,8 +59,9 @@ def vif(df: DataFrame, columns: list[str], centred: bool = False) -> DataFrame:
 
     Regressions have no intercept unless ``centred``.
     """
-    med = df.agg(*[F.median(c).alias(c) for c in columns], *[F.count_distinct(c).alias(f"n_{c}") for c in columns]).first()
-    use = [c for c in columns if (med[f"n_{c}"] or 0) > 1]
+    med = {c: q[0] for c, q in quantiles(df, columns, [0.5]).items()}
+    ends = df.agg(*[f(F.col(c).cast("double")).alias(f"{k}_{c}") for c in columns for k, f in (("lo", F.min), ("hi", F.max))]).first()
+    use = [c for c in columns if ends[f"lo_{c}"] is not None and ends[f"lo_{c}"] < ends[f"hi_{c}"]]
     filled = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(float(med[c]))).alias(c) for c in use])
     g = gram(filled, use, centred)
     values = np.diag(g) * np.diag(np.linalg.pinv(g)) if len(use) else []
@@ -72,13 +69,28 @@ def vif(df: DataFrame, columns: list[str], centred: bool = False) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "feature string, vif double")
 
 
+def quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> dict[str, list[float | None]]:
+    """Exact quantiles with linear interpolation, of all columns from one table of rank counts.
+
+    Distinct values are counted and summed up within ranges (``ranks_of``), so no
+    task gets a whole column; only the values at the wanted places reach the driver.
+    """
+    place = F.explode(F.array(*[F.lit(float(p)) for p in probs]))
+    r = ranks_of(df, columns).select("name", "v", "below", "ties", "total", place.alias("p"))
+    at = F.col("p") * (F.col("total") - 1)
+    lo = (F.col("below") <= F.floor(at)) & (F.floor(at) < F.col("below") + F.col("ties"))
+    hi = (F.col("below") <= F.ceil(at)) & (F.ceil(at) < F.col("below") + F.col("ties"))
+    got = r.groupBy("name", "p").agg(F.max(F.when(lo, F.col("v"))).alias("lo"), F.max(F.when(hi, F.col("v"))).alias("hi"), F.max(at - F.floor(at)).alias("f")).collect()
+    found = {(x["name"], x["p"]): x["lo"] + (x["hi"] - x["lo"]) * x["f"] for x in got}
+    return {c: [found.get((c, float(p))) for p in probs] for c in columns}
+
+
 def quartile_fences(df: DataFrame, column: str) -> DataFrame:
-    """Quartiles, IQR and Tukey fences with linear interpolation."""
-    q = F.expr(f"percentile({column}, array(0.25, 0.5, 0.75))")
-    return df.agg(q.alias("q")).select(
-        F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), (F.col("q")[2] - F.col("q")[0]).alias("iqr"),
-        (F.col("q")[0] - 1.5 * (F.col("q")[2] - F.col("q")[0])).alias("lower"), (F.col("q")[2] + 1.5 * (F.col("q")[2] - F.col("q")[0])).alias("upper"),
-    )
+    """Quartiles, IQR and Tukey fences with linear interpolation; one row."""
+    q1, median, q3 = quantiles(df, [column], [0.25, 0.5, 0.75])[column]
+    iqr = None if q1 is None else q3 - q1
+    row = (q1, median, q3, iqr, None if q1 is None else q1 - 1.5 * iqr, None if q1 is None else q3 + 1.5 * iqr)
+    return df.sparkSession.createDataFrame([row], "q1 double, median double, q3 double, iqr double, lower double, upper double")
 
 
 def errors(df: DataFrame, actual: str, predicted: str, by: list[str] = ()) -> DataFrame:

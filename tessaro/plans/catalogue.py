@@ -154,36 +154,36 @@ def modeling_join(spark, d):
     return schema.order_columns(relational.inner_on_key(a, b, "station_id"), ["station_id", "c_name"])
 
 
-@query("left_join_section", "select c_custkey, lpad(cast(c_nationkey as varchar), 10, '0') as section, n_name from customer left join nation on c_nationkey = n_nationkey and n_nationkey % 7 <> 0")
+@query("left_join_section", "select c_custkey, lpad(cast(c_nationkey as varchar), 10, '0') as section, n_name from customer left join nation on c_nationkey = n_nationkey and n_regionkey <> 1")
 def left_join_section(spark, d):
     c = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").cast("string").alias("section"))
-    n = table(spark, d, "nation").select(F.expr("nullif(n_nationkey % 7, 0) is null").alias("gone"), F.col("n_nationkey").alias("k"), "n_name")
+    n = table(spark, d, "nation").select((F.col("n_regionkey") == 1).alias("gone"), F.col("n_nationkey").alias("k"), "n_name")
     n = n.select(F.when(~F.col("gone"), F.concat(F.col("k").cast("string"), F.lit(".0"))).alias("section"), "n_name")
     return relational.left_section_join(c, n, "section", text.normalize_section)
 
 
-@query("full_join_chain", "select nationkey, n_suppliers, n_customers, n_name from (select s_nationkey as nationkey, count(*) as n_suppliers from supplier where s_suppkey % 3 = 0 group by 1) full join (select c_nationkey as nationkey, count(*) as n_customers from customer where c_custkey % 5 = 0 group by 1) using (nationkey) full join (select n_nationkey as nationkey, n_name from nation) using (nationkey)")
+@query("full_join_chain", "select nationkey, n_suppliers, n_customers, n_name from (select s_nationkey as nationkey, count(*) as n_suppliers from supplier where s_acctbal < 2000 group by 1) full join (select c_nationkey as nationkey, count(*) as n_customers from customer where c_acctbal < -900 group by 1) using (nationkey) full join (select n_nationkey as nationkey, n_name from nation) using (nationkey)")
 def full_join_chain(spark, d):
-    s = table(spark, d, "supplier").where("s_suppkey % 3 = 0").groupBy(F.col("s_nationkey").alias("nationkey")).agg(F.count("*").alias("n_suppliers"))
-    c = table(spark, d, "customer").where("c_custkey % 5 = 0").groupBy(F.col("c_nationkey").alias("nationkey")).agg(F.count("*").alias("n_customers"))
+    s = table(spark, d, "supplier").where("s_acctbal < 2000").groupBy(F.col("s_nationkey").alias("nationkey")).agg(F.count("*").alias("n_suppliers"))
+    c = table(spark, d, "customer").where("c_acctbal < -900").groupBy(F.col("c_nationkey").alias("nationkey")).agg(F.count("*").alias("n_customers"))
     return relational.full_chain([s, c, table(spark, d, "nation").select(F.col("n_nationkey").alias("nationkey"), "n_name")], "nationkey")
 
 
-@query("anti_fallback", "select c_custkey, c_name from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderkey % 4 = 0)")
+@query("anti_fallback", "select c_custkey, c_name from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderpriority = '1-URGENT')")
 def anti_fallback(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey % 4 = 0").select(F.col("o_custkey").alias("c_custkey"))
+    o = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
     return relational.unmatched(table(spark, d, "customer").select("c_custkey", "c_name"), o, ["c_custkey"])
 
 
-@query("semi_select", "select c_custkey, c_name from customer where exists (select 1 from orders where o_custkey = c_custkey and o_orderkey % 4 = 0)")
+@query("semi_select", "select c_custkey, c_name from customer where exists (select 1 from orders where o_custkey = c_custkey and o_orderpriority = '1-URGENT')")
 def semi_select(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey % 4 = 0").select(F.col("o_custkey").alias("c_custkey"))
+    o = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
     return table(spark, d, "customer").select("c_custkey", "c_name").join(o, "c_custkey", "left_semi")
 
 
-@query("key_validation", "select count(*) filter (where b is null) as only_left, count(*) filter (where a is null) as only_right, count(*) filter (where a is not null and b is not null) as common from (select distinct o_custkey as k, 1 as a from orders where o_orderkey % 3 = 0) full join (select distinct c_custkey as k, 1 as b from customer where c_custkey % 2 = 0) using (k)")
+@query("key_validation", "select count(*) filter (where b is null) as only_left, count(*) filter (where a is null) as only_right, count(*) filter (where a is not null and b is not null) as common from (select distinct o_custkey as k, 1 as a from orders where o_orderstatus = 'P') full join (select distinct c_custkey as k, 1 as b from customer where c_acctbal > 0) using (k)")
 def key_validation(spark, d):
-    return relational.key_difference(table(spark, d, "orders").where("o_orderkey % 3 = 0"), table(spark, d, "customer").where("c_custkey % 2 = 0"), "o_custkey", "c_custkey")
+    return relational.key_difference(table(spark, d, "orders").where("o_orderstatus = 'P'"), table(spark, d, "customer").where("c_acctbal > 0"), "o_custkey", "c_custkey")
 
 
 @query(
@@ -205,11 +205,11 @@ def union_concat(spark, d):
     return s.unionByName(c, allowMissingColumns=True)
 
 
-@query("candidate_pool", "select o_custkey, cast(len(list_filter(list_distinct(list_concat(a, b)), lambda x: x <> 3)) as integer) as n_pool from (select o_custkey, list(o_orderkey % 10) filter (where o_orderkey % 2 = 0) as a, list(o_orderkey % 10) filter (where o_orderkey % 2 = 1) as b from orders group by o_custkey) where a is not null and b is not null")
+@query("candidate_pool", "select o_custkey, cast(len(list_filter(list_distinct(list_concat(a, b)), lambda x: x <> 3)) as integer) as n_pool from (select o_custkey, list(o_orderkey % 10) filter (where o_orderstatus = 'O') as a, list(o_orderkey % 10) filter (where o_orderstatus = 'F') as b from orders group by o_custkey) where a is not null and b is not null")
 def candidate_pool(spark, d):
     """Union of two parents' elements without the required one."""
     m = F.col("o_orderkey") % 10
-    g = table(spark, d, "orders").groupBy("o_custkey").agg(F.collect_set(F.when(F.col("o_orderkey") % 2 == 0, m)).alias("a"), F.collect_set(F.when(F.col("o_orderkey") % 2 == 1, m)).alias("b"))
+    g = table(spark, d, "orders").groupBy("o_custkey").agg(F.collect_set(F.when(F.col("o_orderstatus") == "O", m)).alias("a"), F.collect_set(F.when(F.col("o_orderstatus") == "F", m)).alias("b"))
     g = g.where((F.size("a") > 0) & (F.size("b") > 0))
     return g.select("o_custkey", F.size(F.array_except(F.array_union("a", "b"), F.array(F.lit(3).cast("bigint")))).alias("n_pool"))
 
@@ -221,9 +221,9 @@ def latest_per_customer(spark, d):
     return o.groupBy("o_custkey").agg(F.max(F.struct("o_orderdate", "o_orderkey")).alias("m")).select("o_custkey", F.col("m.o_orderkey").alias("o_orderkey"))
 
 
-@query("synthetic_names", "select s_suppkey, case when s_suppkey % 3 = 0 then 'helper_' || row_number() over (partition by s_nationkey, s_suppkey % 3 = 0 order by s_suppkey) else s_name end as s_name from supplier")
+@query("synthetic_names", "select s_suppkey, case when s_acctbal < 3000 then 'helper_' || row_number() over (partition by s_nationkey, s_acctbal < 3000 order by s_suppkey) else s_name end as s_name from supplier")
 def synthetic_names(spark, d):
-    s = table(spark, d, "supplier").select("s_suppkey", "s_nationkey", F.when(F.col("s_suppkey") % 3 == 0, "").otherwise(F.col("s_name")).alias("s_name"))
+    s = table(spark, d, "supplier").select("s_suppkey", "s_nationkey", F.when(F.col("s_acctbal") < 3000, "").otherwise(F.col("s_name")).alias("s_name"))
     return relational.synthetic_names(s, "s_nationkey", "s_name", "s_suppkey").select("s_suppkey", "s_name")
 
 
@@ -268,10 +268,11 @@ def text_exclusion(spark, d):
     return table(spark, d, "customer").where(~F.coalesce(F.lower("c_name").contains("7"), F.lit(False))).select("c_custkey")
 
 
-@query("text_normalize", "select doc_id, md5(nullif(trim(regexp_replace(translate(lower(trim(substr(text, 1, 200), ' ')), 'áàâäãåéèêëíìîïóòôöõúùûüñçýÿ', 'aaaaaaeeeeiiiiooooouuuuncyy'), '\\s+', ' ', 'g')), '')) as h from documents")
+@query("text_normalize", "select doc_id, md5(nullif(trim(regexp_replace(strip_accents(lower(text)), '\\s+', ' ', 'g')), '')) as h from documents")
 def text_normalize(spark, d):
-    """The first 200 characters as a name field, normalised."""
-    return table(spark, d, "documents").select("doc_id", F.md5(text.normalize_text(F.substring("text", 1, 200)).cast("binary")).alias("h"))
+    """Whole texts as a name field, normalised."""
+    worker_path(spark)
+    return table(spark, d, "documents").select("doc_id", F.md5(text.normalize_text(F.col("text")).cast("binary")).alias("h"))
 
 
 @query("section_normalize", "select c_custkey, lpad(cast(c_custkey + 801900000 as varchar), 10, '0') as a, '08019' || lpad(cast(c_nationkey as varchar), 2, '0') || lpad(cast(c_custkey % 1000 as varchar), 3, '0') as b from customer")
@@ -391,21 +392,32 @@ def score_bands(spark, d):
     return table(spark, d, "customer").select("c_custkey", numeric.band(F.col("c_custkey") % 101).alias("band"))
 
 
-#: Dimension -> (weight, features as (column, higher is better)); the stand-in columns take the places of the station features.
+#: Dimension -> (weight, features as (column, higher is better)).
 DIMENSIONS = {
-    "accessibility": (0.35, [("lines", True), ("near", False)]),
-    "activity": (0.25, [("stops", True)]),
-    "socioeconomic": (0.25, [("balance", True), ("load", False)]),
+    "accessibility": (0.35, [("bus_lines", True), ("metro_count", True), ("metro_near", False), ("tram_near", False), ("lane_length", True), ("bus_near", False)]),
+    "activity": (0.25, [("poi_count", True)]),
+    "socioeconomic": (0.25, [("population", True), ("income", True), ("college", True), ("unemployed", False)]),
     "topography": (0.15, [("slope", False)]),
 }
 
 
 def station_features(spark, d) -> DataFrame:
-    """Stations with proximity features and attributes: one spatial join serves all counts."""
+    """Stations with the twelve features: one spatial join serves all point layers, one the lanes."""
     st, f = fx(spark, d, "stations"), fx(spark, d, "features")
-    agg = spatial.aggregate_within(st, f, 500.0, [F.count("*").alias("stops"), F.count_distinct("line").alias("lines"), F.min("dist").alias("near")], ["stops", "lines"])
-    s = table(spark, d, "supplier").select(F.col("s_suppkey").cast("bigint").alias("id"), F.col("s_acctbal").cast("double").alias("balance"), (F.col("s_suppkey") % 13).cast("double").alias("load"), (F.col("s_suppkey") % 7).cast("double").alias("slope"))
-    return agg.join(s, "id")
+    bus, metro, tram = (F.col("category").contains(w) for w in ("STANDARD", "LARGE", "PROMO"))
+    aggs = [
+        F.count_distinct(F.when(bus, F.col("line"))).alias("bus_lines"), F.min(F.when(bus, F.col("dist"))).alias("bus_near"),
+        F.count_if(metro).alias("metro_count"), F.min(F.when(metro, F.col("dist"))).alias("metro_near"),
+        F.min(F.when(tram, F.col("dist"))).alias("tram_near"), F.count("*").alias("poi_count"),
+    ]
+    near = spatial.aggregate_within(st, f, 500.0, aggs, ["bus_lines", "metro_count", "poi_count"])
+    lanes = spatial.line_length_within(st, fx(spark, d, "lanes"), 300.0).select("id", F.round("length", 4).alias("lane_length"))
+    k = F.col("s_nationkey")
+    s = table(spark, d, "supplier").select(
+        F.col("s_suppkey").cast("bigint").alias("id"), ((k * 37) % 101).cast("double").alias("population"), F.col("s_acctbal").cast("double").alias("income"),
+        F.when(k % 6 != 0, (k % 11).cast("double")).alias("college"), (F.col("s_suppkey") % 13).cast("double").alias("unemployed"), (F.col("s_suppkey") % 7).cast("double").alias("slope"),
+    )
+    return near.join(lanes, "id").join(s, "id")
 
 
 def score_stations(feats: DataFrame) -> DataFrame:
@@ -418,9 +430,28 @@ def score_stations(feats: DataFrame) -> DataFrame:
     return feats.withColumn("pct", F.round(F.col("pct") * 100, 2)).withColumn("band", numeric.band(F.col("score")))
 
 
-_FEATS_SQL = """f as (select s.id, count(p.fid) as stops, count(distinct p.line) as lines, min(sqrt((s.x - p.fx) ** 2 + (s.y - p.fy) ** 2)) as near
+_UX, _UY, _DX, _DY = "(x1 - x)", "(y1 - y)", "(x2 - x1)", "(y2 - y1)"
+
+
+def lane_sql(points: str, radius: float) -> str:
+    """(id, length, any_line) of the lanes within a radius of the points of a fixture."""
+    a, b = f"({_DX} ** 2 + {_DY} ** 2)", f"(2 * ({_UX} * {_DX} + {_UY} * {_DY}))"
+    c = f"({_UX} ** 2 + {_UY} ** 2 - {float(radius) ** 2})"
+    reach = radius + 151
+    t = f"greatest(0, least(1, -b / nullif(2 * a, 0)))"
+    return (
+        f"(select s.id, coalesce(sum(case when a = 0 or q <= 0 then 0 else sqrt(a) * greatest(0, least(1, (-b + sqrt(q)) / (2 * a)) - greatest(0, (-b - sqrt(q)) / (2 * a))) end), 0) as length, "
+        f"coalesce(max(case when a * coalesce({t}, 0) ** 2 + b * coalesce({t}, 0) + c <= 0 then 1 else 0 end), 0) as any_line "
+        f"from {points} s left join (select *, greatest(b * b - 4 * a * c, 0) as q from (select id, {a} as a, {b} as b, {c} as c from {points}, {sub('lanes')} where abs(x1 - x) <= {reach} and abs(y1 - y) <= {reach})) t using (id) group by s.id)"
+    )
+
+
+_FEATS_SQL = """f as (select s.id, count(distinct case when contains(category, 'STANDARD') then p.line end) as bus_lines, min(case when contains(category, 'STANDARD') then sqrt((s.x - p.fx) ** 2 + (s.y - p.fy) ** 2) end) as bus_near,
+    count(*) filter (where contains(category, 'LARGE')) as metro_count, min(case when contains(category, 'LARGE') then sqrt((s.x - p.fx) ** 2 + (s.y - p.fy) ** 2) end) as metro_near,
+    min(case when contains(category, 'PROMO') then sqrt((s.x - p.fx) ** 2 + (s.y - p.fy) ** 2) end) as tram_near, count(p.fid) as poi_count
     from {stations} s left join {features} p on (s.x - p.fx) ** 2 + (s.y - p.fy) ** 2 <= 250000.0 group by s.id),
-    g as (select f.*, cast(s_acctbal as double) as balance, cast(s_suppkey % 13 as double) as load, cast(s_suppkey % 7 as double) as slope from f join supplier on s_suppkey = f.id)"""
+    g as (select f.*, round(l.length, 4) as lane_length, cast((s_nationkey * 37) % 101 as double) as population, cast(s_acctbal as double) as income, case when s_nationkey % 6 <> 0 then cast(s_nationkey % 11 as double) end as college,
+    cast(s_suppkey % 13 as double) as unemployed, cast(s_suppkey % 7 as double) as slope from f join supplier on s_suppkey = f.id join """ + lane_sql("{stations}", 300.0) + " l on l.id = f.id)"
 
 
 def _mid_sql(c: str, up: bool = True) -> str:
@@ -428,11 +459,20 @@ def _mid_sql(c: str, up: bool = True) -> str:
     return f"case when {c} is null then null when count({c}) over () = 1 then 1.0 else {v if up else f'1 - {v}'} end"
 
 
+def _mean_sql(columns: list[str]) -> str:
+    return f"({' + '.join(f'coalesce({c}, 0)' for c in columns)}) / nullif({' + '.join(f'({c} is not null)::int' for c in columns)}, 0)"
+
+
 _SCORE_SQL = (
     f"with {_FEATS_SQL}, h as (select id, "
     + ", ".join(f"{_mid_sql(c, up)} as s_{c}" for _, cols in DIMENSIONS.values() for c, up in cols)
-    + " from g), k as (select id, case when s_near is null then s_lines else (s_lines + s_near) / 2 end as accessibility, s_stops as activity, (s_balance + s_load) / 2 as socioeconomic, s_slope as topography from h), "
-    + "m as (select id, round(100 * (0.35 * accessibility + 0.25 * activity + 0.25 * socioeconomic + 0.15 * topography), 4) as score from k) "
+    + " from g), k as (select id, "
+    + ", ".join(f"{_mean_sql([f's_{c}' for c, _ in cols])} as {name}" for name, (_, cols) in DIMENSIONS.items())
+    + " from h), m as (select id, round(100 * ("
+    + " + ".join(f"{w}::double * coalesce({name}, 0)" for name, (w, _) in DIMENSIONS.items())
+    + ") / ("
+    + " + ".join(f"{w}::double * ({name} is not null)::int" for name, (w, _) in DIMENSIONS.items())
+    + "), 4) as score from k) "
     + f"select id, score, cast(rank() over (order by score desc) as bigint) as place, round(100 * ({_mid_sql('score')}), 2) as pct, case when score <= 20 then 'very_low' when score <= 40 then 'low' when score <= 60 then 'medium' when score <= 80 then 'high' else 'very_high' end as band from m"
 )
 
@@ -443,9 +483,9 @@ def explanatory_score(spark, d):
     return score_stations(station_features(spark, d)).select("id", "score", F.col("place").cast("bigint").alias("place"), "pct", "band")
 
 
-@query("feature_coverage", "select feature, coverage from (select round(count(l_orderkey) / count(*), 6) as line, round(count(o_comment2) / count(*), 6) as odd from (select o_orderkey, nullif(o_orderkey % 7, 0) as o_comment2, l_orderkey from orders left join (select distinct l_orderkey from lineitem where l_orderkey % 3 = 0) on o_orderkey = l_orderkey)) unpivot (coverage for feature in (line, odd))")
+@query("feature_coverage", "select feature, coverage from (select round(count(l_orderkey) / count(*), 6) as line, round(count(o_comment2) / count(*), 6) as odd from (select o_orderkey, nullif(o_orderkey % 7, 0) as o_comment2, l_orderkey from orders left join (select distinct l_orderkey from lineitem where l_returnflag = 'R') on o_orderkey = l_orderkey)) unpivot (coverage for feature in (line, odd))")
 def feature_coverage(spark, d):
-    li = table(spark, d, "lineitem").where("l_orderkey % 3 = 0").select(F.col("l_orderkey").alias("o_orderkey")).distinct().withColumn("line", F.lit(1))
+    li = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey")).distinct().withColumn("line", F.lit(1))
     o = table(spark, d, "orders").select("o_orderkey", F.expr("nullif(o_orderkey % 7, 0)").alias("odd")).join(li, "o_orderkey", "left")
     return stats.coverage(o, ["line", "odd"]).select("feature", F.round("coverage", 6).alias("coverage"))
 
@@ -470,9 +510,18 @@ def correlation_matrix(spark, d):
     return stats.correlation_pairs(fx(spark, d, "lines"), ["quantity", "price", "discount", "tax", "gross"]).withColumn("r", F.round("r", 6))
 
 
-@query("high_corr_pairs", "select * from (" + " union all ".join(f"select '{a}' as feature_a, '{b}' as feature_b, round(corr({a}, {b}), 6) as r from {{lines}}" for a, b in _PAIRS) + ") where abs(r) >= 0.85")
+_RANKED = "r as (select " + ", ".join(f"{_MID.format(c=c)} as {c}" for c in ("quantity", "price", "discount", "tax", "gross")) + " from {lines})"
+
+
+@query("spearman_matrix", f"with {_RANKED} " + " union all ".join(f"select '{a}' as feature_a, '{b}' as feature_b, round(corr({a}, {b}), 6) as r from r" for a, b in _PAIRS))
+def spearman_matrix(spark, d):
+    return stats.spearman_pairs(fx(spark, d, "lines"), ["quantity", "price", "discount", "tax", "gross"]).withColumn("r", F.round("r", 6))
+
+
+@query("high_corr_pairs", f"with {_RANKED} select * from (" + " union all ".join(f"select '{a}' as feature_a, '{b}' as feature_b, round(corr({a}, {b}), 6) as r from r" for a, b in _PAIRS) + ") where abs(r) >= 0.85")
 def high_corr_pairs(spark, d):
-    return stats.correlation_pairs(fx(spark, d, "lines"), ["quantity", "price", "discount", "tax", "gross"]).withColumn("r", F.round("r", 6)).where(F.abs("r") >= 0.85)
+    """Pairs of features whose rank correlation is 0.85 or more either way."""
+    return spearman_matrix(spark, d).where(F.abs("r") >= 0.85)
 
 
 @query("vif", "with g as (select sum(quantity * quantity) as a, sum(discount * discount) as b, sum(quantity * discount) as c from {lines}) select 'quantity' as feature, round(a * b / (a * b - c * c), 4) as vif from g union all select 'discount', round(a * b / (a * b - c * c), 4) from g")
@@ -627,34 +676,30 @@ def point_in_zone(spark, d):
 _BOXD = "greatest(minx - x, 0.0, x - maxx) ** 2 + greatest(miny - y, 0.0, y - maxy) ** 2"
 
 
-@query("zone_fallback", f"select id, zid from (select n.id, z.zid, row_number() over (partition by n.id order by case when x >= minx and x < maxx and y >= miny and y < maxy then -1.0 else {_BOXD} end, z.zid) as k from {{nodes}} n, {{zones}} z where z.zid % 3 <> 0) where k = 1")
+@query("zone_fallback", f"select id, zid from (select n.id, z.zid, row_number() over (partition by n.id order by case when x >= minx and x < maxx and y >= miny and y < maxy then -1.0 else {_BOXD} end, z.zid) as k from {{nodes}} n, {{zones}} z where z.v >= 30) where k = 1")
 def zone_fallback(spark, d):
     """Points outside all zones go to the nearest one."""
-    z = fx(spark, d, "zones").where("zid % 3 <> 0")
+    z = fx(spark, d, "zones").where("v >= 30")
     return spatial.zone_with_fallback(fx(spark, d, "nodes"), z, 2000.0, 8000.0).select("id", "zid")
 
 
-@query("points_per_zone", "select z.zid, z.name, count(n.id) as n from {zones} z left join {nodes} n on x >= minx and x < maxx and y >= miny and y < maxy and n.id % 3 = 0 and z.zid % 4 <> 1 group by all")
+@query("points_per_zone", "select z.zid, z.name, count(n.id) as n from {zones} z left join {nodes} n on x >= minx and x < maxx and y >= miny and y < maxy and z.v >= 30 group by all")
 def points_per_zone(spark, d):
     z = fx(spark, d, "zones")
-    got = spatial.point_in_box(fx(spark, d, "nodes").where("id % 3 = 0"), z.where("zid % 4 <> 1"), 2000.0).groupBy("zid").agg(F.count("*").alias("n"))
+    got = spatial.point_in_box(fx(spark, d, "nodes"), z.where("v >= 30"), 2000.0).groupBy("zid").agg(F.count("*").alias("n"))
     return z.select("zid", "name").join(got, "zid", "left").fillna(0, ["n"])
 
 
-_UX, _UY, _DX, _DY = "(x1 - x)", "(y1 - y)", "(x2 - x1)", "(y2 - y1)"
-_A, _B, _C = f"({_DX} ** 2 + {_DY} ** 2)", f"(2 * ({_UX} * {_DX} + {_UY} * {_DY}))", f"({_UX} ** 2 + {_UY} ** 2 - 90000.0)"
-
-
-@query("lane_length_in_buffer", f"select s.id, round(coalesce(sum(case when a = 0 or q <= 0 then 0 else sqrt(a) * greatest(0, least(1, (-b + sqrt(q)) / (2 * a)) - greatest(0, (-b - sqrt(q)) / (2 * a))) end), 0), 4) as length from {{stations}} s left join (select *, greatest(b * b - 4 * a * c, 0) as q from (select id, {_A} as a, {_B} as b, {_C} as c from {{stations}}, {{lanes}} where abs(x1 - x) <= 451 and abs(y1 - y) <= 451)) t using (id) group by s.id")
+@query("lane_length_in_buffer", f"select id, round(length, 4) as length from {lane_sql('{stations}', 300.0)}")
 def lane_length_in_buffer(spark, d):
     """Length of the lanes inside 300 m of each station."""
     out = spatial.line_length_within(fx(spark, d, "stations"), fx(spark, d, "lanes"), 300.0)
     return out.select("id", F.round("length", 4).alias("length"))
 
 
-@query("lane_flag", None)
+@query("lane_flag", f"select id, round(length / 1000, 6) as km, any_line as has_lane from {lane_sql('{nodes}', 150.0)}")
 def lane_flag(spark, d):
-    """Kilometres of lanes near each node and whether there is one; tested against a plain loop."""
+    """Kilometres of lanes near each node and whether there is one."""
     out = spatial.line_length_within(fx(spark, d, "nodes"), fx(spark, d, "lanes"), 150.0)
     return out.select("id", F.round(F.col("length") / 1000, 6).alias("km"), F.col("any_line").cast("int").alias("has_lane"))
 
@@ -740,13 +785,6 @@ def haversine_slope(spark, d):
     return s.select("id", F.round("h", 3).alias("dist"), F.round(geo.slope_percent(F.lit(0.0), (F.col("id") % 40 - 20).cast("double"), F.col("h")), 6).alias("slope"))
 
 
-@query("reproject_utm", None)
-def reproject_utm(spark, d):
-    """Longitude and latitude to UTM 31N; tested against control values."""
-    dx, dy = (F.col("x") - 5000) / 100000, (F.col("y") - 5000) / 100000
-    return fx(spark, d, "stations").select("id", geo.utm31(F.lit(2.17) + dx, F.lit(41.4) + dy).alias("p")).select("id", "p.x", "p.y")
-
-
 _GRID = "(select cast(floor(k / 100) as integer) as i, cast(k % 100 as integer) as j, cast((floor(k / 100) * floor(k / 100) * 3 + k % 100 * 7 + floor(k / 100) * (k % 100)) % 101 as double) as altitude from range(10000) t(k))"
 
 
@@ -799,9 +837,9 @@ def chosen(spark, d) -> DataFrame:
 _SOL = "sol as (select distinct sol, node from {solutions} unpivot (node for k in (n0, n1, n2, n3)))"
 
 
-@query("node_connectivity", "with e as (select * from {edges1} where src % 3 <> 0) select node, coalesce(i, 0) as in_degree, coalesce(o, 0) as out_degree, case when i is null and o is null then 'none' when o is null then 'only_in' when i is null then 'only_out' else 'both' end as category from {gnodes} left join (select src as node, count(*) as o from e group by 1) using (node) left join (select dst as node, count(*) as i from e group by 1) using (node)")
+@query("node_connectivity", "with e as (select * from {edges1} where weight > 6) select node, coalesce(i, 0) as in_degree, coalesce(o, 0) as out_degree, case when i is null and o is null then 'none' when o is null then 'only_in' when i is null then 'only_out' else 'both' end as category from {gnodes} left join (select src as node, count(*) as o from e group by 1) using (node) left join (select dst as node, count(*) as i from e group by 1) using (node)")
 def node_connectivity(spark, d):
-    return graph.connectivity(fx(spark, d, "gnodes"), fx(spark, d, "edges1").where("src % 3 <> 0"))
+    return graph.connectivity(fx(spark, d, "gnodes"), fx(spark, d, "edges1").where("weight > 6"))
 
 
 @query("opposite_edges", "with e as (select src, dst, weight from {edges2}) select src, dst, min(weight) as weight, 'old' as edge_type from e group by all union all select dst, src, min(weight), 'new' from e a where not exists (select 1 from e b where b.src = a.dst and b.dst = a.src) group by all")
@@ -810,10 +848,10 @@ def opposite_edges(spark, d):
     return out.groupBy("src", "dst", "edge_type").agg(F.min("weight").alias("weight"))
 
 
-@query("strong_components", f"with recursive e as (select distinct src, dst from {{edges1}} where src % 4 <> 0 union select src, dst from {{edges2}} where src % 2 = 0), r(a, b) as (select node, node from {{gnodes}} union select r.a, e.dst from r join e on r.b = e.src) select x.a as node, min(x.b) as component from r x join r y on x.a = y.b and x.b = y.a group by x.a")
+@query("strong_components", f"with recursive e as (select distinct src, dst from {{edges1}} where weight > 4 union select src, dst from {{edges2}} where weight < 8), r(a, b) as (select node, node from {{gnodes}} union select r.a, e.dst from r join e on r.b = e.src) select x.a as node, min(x.b) as component from r x join r y on x.a = y.b and x.b = y.a group by x.a")
 def strong_components(spark, d):
     ensure_checkpoint(spark)
-    e = fx(spark, d, "edges1").where("src % 4 <> 0").unionByName(fx(spark, d, "edges2").where("src % 2 = 0"))
+    e = fx(spark, d, "edges1").where("weight > 4").unionByName(fx(spark, d, "edges2").where("weight < 8"))
     return graph.strong_components(fx(spark, d, "gnodes"), e)
 
 
@@ -883,7 +921,8 @@ def exploration_metrics(spark, d):
 
 def _search(spark, d) -> optimize.Search:
     nodes = fx(spark, d, "gnodes").withColumn("norm_score", F.col("norm_score").cast("double"))
-    return optimize.Search(nodes, optimize.conflicts(street_distances(spark, d), 6))
+    dist = street_distances(spark, d)
+    return optimize.Search(nodes, optimize.conflicts(dist, 6), dist)
 
 
 @query("population_random", None)
@@ -895,17 +934,54 @@ def population_random(spark, d):
 
 @query("ga_run", None)
 def ga_run(spark, d):
-    """Best solution of a seeded genetic search next to the exact and the greedy one."""
+    """Best solution of a seeded genetic search next to the exact and the greedy one, by node scores, and the best by node and graph score."""
     s = _search(spark, d)
+    both, steps = optimize.genetic(s, 5, seed=1, score=s.scorer(0.5, *s.bounds(5)), selection="roulette")
     best, history = optimize.genetic(s, 5, seed=1)
     rows = [("genetic", [int(x) for x in best], history[-1])] + [(n, [int(s.ids[i]) for i in c], float(s.score[c].sum())) for n, c in (("greedy", s.greedy(5)), ("exact", s.exact(5)))]
+    rows.append(("genetic_graph", [int(x) for x in both], steps[-1]))
     return spark.createDataFrame(rows, "method string, nodes array<long>, score double")
 
 
 @query("ga_grid_search", None)
 def ga_grid_search(spark, d):
     worker_path(spark)
-    return optimize.grid_search(spark, _search(spark, d), 5, {"population_size": [10, 20], "elite": [0.2, 0.3], "rate": [0.05, 0.2], "generations": [10]})
+    return optimize.grid_search(spark, _search(spark, d), 5, {"population_size": [10, 20], "elite": [0.2, 0.3], "rate": [0.05, 0.2], "generations": [10]}, alpha=0.5)
+
+
+_VARIABLES = ("altitude", "norm_score", "degree")
+
+
+def _variables(spark, d, s: optimize.Search):
+    """A row per candidate, in its order."""
+    import numpy as np
+
+    n = {r["node"]: (r["altitude"], float(r["norm_score"]), float(r["node"] % 5)) for r in fx(spark, d, "gnodes").collect()}
+    return np.array([n[int(i)] for i in s.ids])
+
+
+@query("alpha_screening", None)
+def alpha_screening(spark, d):
+    """Searches for two scenarios of weights and three alphas, with one node that has to be in; tested against exact search."""
+    worker_path(spark)
+    s = _search(spark, d)
+    scenarios = {"demand": {"altitude": 0.4, "norm_score": 0.6}, "access": {"degree": 0.7, "norm_score": 0.3}}
+    return optimize.screen(spark, s, _variables(spark, d, s), list(_VARIABLES), scenarios, [0.0, 0.5, 1.0], 4, [3], generations=15)
+
+
+@query("variable_ranking", None)
+def variable_ranking(spark, d):
+    """Variables by the dispersion of the exact solution that each of them alone gives."""
+    s = _search(spark, d)
+    return optimize.rank_variables(spark, s, _variables(spark, d, s), list(_VARIABLES), 4)
+
+
+@query("metric_bounds", None)
+def metric_bounds(spark, d):
+    """Estimated bounds of both graph metrics; tested against enumeration."""
+    s = _search(spark, d)
+    disp, acc = s.bounds(4)
+    return spark.createDataFrame([("dispersion", *disp), ("accessibility", *acc)], "metric string, low double, high double")
 
 
 @query("random_weights", None)
@@ -921,7 +997,6 @@ def centralities(spark, d):
 
 @query("communities", None)
 def communities(spark, d):
-    ensure_checkpoint(spark)
     return graph.communities(fx(spark, d, "gnodes"), street_edges(spark, d))
 
 

@@ -164,7 +164,7 @@ def test_normalizers(spark):
     flat = spark.createDataFrame([(3.0,), (3.0,)], "v double")
     assert {r["v"] for m in ("minmax", "inverted_minmax", "inverted_zscore") for r in normalize.normalize(flat, "v", m).collect()} == {0.0}
     x = np.exp(np.random.default_rng(1).normal(0, 1, 400))
-    lam = normalize.boxcox_lambda(spark.createDataFrame([(float(v),) for v in x], "v double"), "v")
+    lam, _ = normalize.boxcox_lambda(spark.createDataFrame([(float(v),) for v in x], "v double"), "v")
     assert abs(lam) < 0.2
     g = stats.vif(spark.createDataFrame([(1.0, 2.0, 5.0), (2.0, 1.0, 5.0), (3.0, 5.0, 5.0)], "a double, b double, c double"), ["a", "b", "c"]).collect()
     assert {r["feature"] for r in g} == {"a", "b"}
