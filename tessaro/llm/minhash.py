@@ -34,7 +34,7 @@ ROWS = 4
 #: Vertices of a block; a block pair is one unit of work.
 BLOCK = 1024
 #: Bytes of members that one task of block pairs gets on average.
-PER_TASK = 32 << 20
+PER_TASK = 4 << 20
 
 _MULTIPLIERS = tb.mix(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
