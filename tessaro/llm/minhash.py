@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from . import textbytes as tb
 from .graph import components
 from .storage import materialise
-from .tables import pick
+from .tables import join_to_copies, pick
 
 PERMUTATIONS = 64
 BANDS = 32
@@ -229,7 +229,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = pick(docs, doc_id=id_col, text=text_col)
     table = materialise(signature_table(docs.withColumn("digest", F.xxhash64("text")), k), "signatures")
     named = table.where("doc_id is not null and key is not null")
-    owners = materialise(named.groupBy("key").agg(F.min("doc_id").alias("owner"), F.first("bands").alias("bands")), "vertices")
+    owners = materialise(named.groupBy("key").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n"), F.first("bands").alias("bands")), "vertices")
     vertices = owners.select("key", "bands")
 
     bands = vertices.select("key", F.explode("bands").alias("band"))
@@ -250,8 +250,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     named_label = owners.select("key", "owner").join(labels, "key")
     smallest = named_label.groupBy("label").agg(F.min("owner").alias("component_id"))
-    of_key = owners.select("key", "owner").join(named_label.select("key", "label").join(smallest, "label").select("key", "component_id"), "key", "left")
-    of_key = of_key.select("key", F.coalesce("component_id", "owner").alias("component_id"))
-    out = table.select("doc_id", "digest", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key")).join(of_key, "key", "left")
+    of_key = owners.select("key", "owner", "n").join(named_label.select("key", "label").join(smallest, "label").select("key", "component_id"), "key", "left")
+    of_key = of_key.select("key", "owner", "n", F.coalesce("component_id", "owner").alias("component_id"))
+    out = join_to_copies(table.select("doc_id", "digest", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key")), of_key)
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "digest")

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import textbytes as tb
 from .storage import materialise
-from .tables import pick
+from .tables import join_to_copies, pick
 
 _NOTHING = hashlib.sha256(b"").hexdigest()
 
@@ -178,7 +178,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     steps = sizes(length, levels)
     table = materialise(document_table(docs, length, steps[0]), "words")
     owners = materialise(
-        table.where("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("owner"), F.first("anchors").alias("anchors")),
+        table.where("doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n"), F.first("anchors").alias("anchors")),
         "owners",
     )
 
@@ -205,8 +205,8 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     later = materialise(later, "later")
     cut = materialise(cut_table(texts.join(later, "row"), length), "cut")
 
-    known = owners.select("key", "owner").join(cut.dropDuplicates(["key"]), "key", "left")
-    out = table.select("doc_id", "n_words", "full_sha256", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key")).join(known, "key", "left")
+    known = owners.select("key", "owner", "n").join(cut.dropDuplicates(["key"]), "key", "left")
+    out = join_to_copies(table.select("doc_id", "n_words", "full_sha256", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key")), known)
     copy = F.coalesce((F.col("owner") < F.col("doc_id")) & (F.col("n_words") >= length), F.lit(False))
     return out.select(
         "doc_id",
