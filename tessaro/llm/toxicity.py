@@ -231,7 +231,8 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int =
 
 def fit(rows: list[tuple[str, int]]) -> Model:
     """A model of (text, label) rows; without both labels it scores everything 0."""
-    docs = [(WORD.findall((t or "").lower()), y) for t, y in rows]
+    pool: dict[str, str] = {}  # each word is held once
+    docs = [([pool.setdefault(w, w) for w in WORD.findall((t or "").lower())], y) for t, y in rows]
     if len({y for _, y in docs}) < 2:
         model = Model([], [])
         model.weights[0] = -30.0
