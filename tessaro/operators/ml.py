@@ -54,6 +54,7 @@ def out_of_fold(df: DataFrame, key: str, features: list[str], target: str, model
     for k in range(folds):
         fitted = pipeline(features, target, model, seed).fit(data.where(F.col("fold") != k))
         parts.append(fitted.transform(data.where(F.col("fold") == k)).select(key, "fold", F.col(target).alias("target"), "prediction"))
+    data.unpersist()  # the fits are done; predictions read the source again
     out = reduce(DataFrame.unionByName, parts)
     return out.withColumn("residual", F.col("target") - F.col("prediction")).withColumn("abs_error", F.abs("residual"))
 

@@ -20,6 +20,8 @@ from . import graph
 
 #: Candidate nodes up to which the search takes a broadcast of all of them.
 MAX_NODES = 20_000
+#: Solutions that are compared in pairs, at most.
+MAX_POPULATION = 5_000
 #: Conflicting pairs that reach the driver, and nodes whose distances to each other do, at most.
 MAX_PAIRS, MAX_MATRIX = 20_000_000, 4_000
 
@@ -64,7 +66,9 @@ def jaccard_distance(a, b):
 
 
 def diversity(population: DataFrame) -> DataFrame:
-    """One row: the mean Jaccard distance over the pairs of a population (sol, nodes); a population is a few hundred."""
+    """One row: the mean Jaccard distance over the pairs of a population (sol, nodes) of at most ``MAX_POPULATION``."""
+    if population.count() > MAX_POPULATION:
+        raise ValueError(f"more than {MAX_POPULATION} solutions: sample the population first")
     a, b = population.select(F.col("sol").alias("a"), F.col("nodes").alias("na")), population.select(F.col("sol").alias("b"), F.col("nodes").alias("nb"))
     return a.join(b, F.col("a") < F.col("b")).agg(F.count("*").alias("n_pairs"), F.coalesce(F.avg(jaccard_distance(F.col("na"), F.col("nb"))), F.lit(0.0)).alias("diversity"))
 

@@ -94,6 +94,10 @@ def key_difference(left: DataFrame, right: DataFrame, key_l: str, key_r: str) ->
     return both.agg(F.count_if(F.col("b").isNull()).alias("only_left"), F.count_if(F.col("a").isNull()).alias("only_right"), F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("common"))
 
 
+#: Groups whose pairs are listed, at most.
+MAX_GROUPS = 5_000
+
+
 def pairwise_overlap(df: DataFrame, group: str, key: str) -> DataFrame:
     """Sizes, intersection, differences and shares of the key sets of each pair of groups.
 
@@ -102,6 +106,8 @@ def pairwise_overlap(df: DataFrame, group: str, key: str) -> DataFrame:
     """
     sets = df.select(group, key).where(F.col(key).isNotNull()).distinct()
     size = sets.groupBy(group).agg(F.count("*").alias("n"))
+    if size.count() > MAX_GROUPS:
+        raise ValueError(f"more than {MAX_GROUPS} groups: their pairs are no report any more")
     lists = sets.groupBy(key).agg(F.array_sort(F.collect_set(group)).alias("g")).where(F.size("g") > 1)
     pairs = lists.select(F.explode("g").alias("a"), "g").select("a", F.explode("g").alias("b")).where("a < b").groupBy("a", "b").agg(F.count("*").alias("n_both"))
     every = size.select(F.col(group).alias("a"), F.col("n").alias("n_a")).join(size.select(F.col(group).alias("b"), F.col("n").alias("n_b")), F.col("a") < F.col("b"))

@@ -421,11 +421,12 @@ def station_features(spark, d) -> DataFrame:
 
 
 def score_stations(feats: DataFrame) -> DataFrame:
-    feats = feats.persist()  # a row per station, read three times
+    ensure_checkpoint(feats.sparkSession)
+    feats = feats.checkpoint()  # a row per station, read three times
     feats = ranking.percentile_scores(feats, "id", [(c, f"score__{c}", up) for _, columns in DIMENSIONS.values() for c, up in columns])
     for name, (_, columns) in DIMENSIONS.items():
         feats = feats.withColumn(name, numeric.row_mean([F.col(f"score__{c}") for c, _ in columns]))
-    feats = feats.withColumn("score", F.round(numeric.weighted_score([(F.col(n), w) for n, (w, _) in DIMENSIONS.items()]) * 100, 4)).persist()
+    feats = feats.withColumn("score", F.round(numeric.weighted_score([(F.col(n), w) for n, (w, _) in DIMENSIONS.items()]) * 100, 4)).checkpoint()
     feats = ranking.rank_and_percentile(feats, "score", "place", "pct")
     return feats.withColumn("pct", F.round(F.col("pct") * 100, 2)).withColumn("band", numeric.band(F.col("score")))
 

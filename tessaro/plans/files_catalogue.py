@@ -76,6 +76,7 @@ def source_csv_broken(spark, d):
 @query("source_px", "select n_name as zone, s as sex, cast(case when (n_nationkey * 2 + i) % 7 = 0 then null else n_nationkey * 2 + i end as double) as value from nation, (values ('f', 0), ('m', 1)) t(s, i)")
 def source_px(spark, d):
     """A statistics file with two headings and marks for missing values."""
+    worker_path(spark)
     n = table(spark, d, "nation").orderBy("n_nationkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: F.concat(F.lit('"'), x["n_name"], F.lit('"'))), ",").alias("names"), F.max("n_nationkey").alias("top"))
     cells = F.transform(F.sequence(F.lit(0), F.col("top") * 2 + 1), lambda i: F.when(i % 7 == 0, '".."').otherwise(i.cast("string")))
     body = F.concat(F.lit('STUB="zone";\nHEADING="sex";\nVALUES("zone")='), "names", F.lit(';\nVALUES("sex")="f","m";\nDATA=\n'), F.array_join(cells, " "), F.lit(";\n"))

@@ -41,11 +41,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint(spark: SparkSession) -> None:
-    """A checkpoint folder for iterative operators: the configured one, else a temporary one (tests)."""
+    """A checkpoint folder for iterative operators: the configured one, else a temporary one if all tasks run on this machine."""
     if not spark.sparkContext.getCheckpointDir():
         where = spark.conf.get("spark.checkpoint.dir", None)
         if not where:
             import tempfile
 
-            where = tempfile.mkdtemp(prefix="tessaro-ckpt-")
+            master = spark.sparkContext.master
+            if not (master == "local" or master.startswith("local[")):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            where = "file://" + tempfile.mkdtemp(prefix="tessaro-ckpt-")
         spark.sparkContext.setCheckpointDir(where)

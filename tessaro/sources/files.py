@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import csv
+import itertools
+import re
 import struct
 from collections.abc import Iterator
 from functools import reduce
@@ -45,13 +48,14 @@ def read_broken_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") ->
     lines = spark.read.option("encoding", encoding).text(path).where(F.trim("value") != "")
     outer = F.trim("value").rlike('^".*"$') & ~F.trim("value").rlike('^"[^"]*"(,|$)')
     fixed = F.when(outer, F.replace(F.expr("substring(trim(value), 2, length(trim(value)) - 2)"), F.lit('""'), F.lit('"'))).otherwise(F.trim("value"))
-    lines = lines.select(fixed.alias("line"))
+    lines = lines.select(fixed.alias("line"), F.monotonically_increasing_id().alias("at"))
     first = lines.first()
     if first is None:
         return spark.createDataFrame([], "value string")
-    names = [clean_header(c.strip().strip('"')) for c in first[0].split(",")]
+    names = [clean_header(c.strip()) for c in next(csv.reader([first["line"]]))]
     kind = ", ".join(f"`{c}` string" for c in names)
-    return lines.where(F.col("line") != first[0]).select(F.from_csv("line", F.lit(kind), {"mode": "PERMISSIVE"}).alias("r")).select("r.*")
+    rest = lines.where(F.col("at") != first["at"])  # later rows that look like the header are data
+    return rest.select(F.from_csv("line", F.lit(kind), {"mode": "PERMISSIVE"}).alias("r")).select("r.*")
 
 
 def read_many(spark: SparkSession, paths: list[str], key: str) -> DataFrame:
@@ -59,19 +63,28 @@ def read_many(spark: SparkSession, paths: list[str], key: str) -> DataFrame:
     return reduce(lambda a, b: a.join(b, key, "full"), [read_csv(spark, p) for p in paths])
 
 
+def _px_fields(content: bytes, encoding: str) -> dict[str, str]:
+    return {m[1].strip(): m[2] for m in re.finditer(r'^([A-Z-]+(?:\("[^"]*"\))?)=(.*?);\s*$', content.decode(encoding), re.S | re.M)}
+
+
 def read_px(spark: SparkSession, path: str, encoding: str = "ISO-8859-15") -> DataFrame:
-    """A PC-Axis file as a long table: one column per heading, then value (null for marks such as "..")."""
-    rows = spark.read.format("binaryFile").load(path).select("content").first()
-    import itertools
-    import re
+    """PC-Axis files as a long table: one column per heading, then value (null for marks such as "..").
 
-    text = bytes(rows[0]).decode(encoding)
-    fields = {m[1].strip(): m[2] for m in re.finditer(r'^([A-Z-]+(?:\("[^"]*"\))?)=(.*?);\s*$', text, re.S | re.M)}
+    The headings are those of the first file; each file is read in a task of its own.
+    """
+    whole = spark.read.format("binaryFile").load(path).where("length > 0").select("content")
+    fields = _px_fields(bytes(whole.first()["content"]), encoding)
     names = [x for k in ("STUB", "HEADING") if k in fields for x in re.findall(r'"([^"]*)"', fields[k])]
-    values = [re.findall(r'"([^"]*)"', fields[f'VALUES("{n}")']) for n in names]
-    data = re.findall(r'"[^"]*"|\S+', fields["DATA"])
-    out = [(*k, v.strip('"')) for k, v in zip(itertools.product(*values), data)]
-    df = spark.createDataFrame(out, T.StructType([T.StructField(n, T.StringType()) for n in [*names, "value"]]))
+
+    def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for content in pdf["content"]:
+                own = _px_fields(bytes(content), encoding)
+                values = [re.findall(r'"([^"]*)"', own[f'VALUES("{n}")']) for n in names]
+                data = re.findall(r'"[^"]*"|\S+', own["DATA"])
+                yield pd.DataFrame([(*k, v.strip('"')) for k, v in zip(itertools.product(*values), data)], columns=[*names, "value"])
+
+    df = whole.mapInPandas(cells, T.StructType([T.StructField(n, T.StringType()) for n in [*names, "value"]]))
     return df.withColumn("value", F.col("value").try_cast("double"))
 
 
