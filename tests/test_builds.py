@@ -294,3 +294,56 @@ def test_prepared_graph_is_connected(spark):
     got = graph.prepare(nodes, edges, 10.0)
     assert {r["component"] for r in graph.strong_components(nodes, got.select("src", "dst", "weight")).collect()} == {0}
     assert got.where("edge_type = 'new'").count() >= 2
+
+
+def test_pictures_and_layers(spark, tmp_path):
+    import sqlite3
+    import struct
+    import zlib
+
+    from tessaro.sources import pictures
+
+    df = spark.createDataFrame([(1, 0.0, 0.0, "a<b"), (2, 10.0, 5.0, None), (3, None, 1.0, "no place")], "v int, x double, y double, label string")
+    for data, size in ((pictures.bars(df, "v", "v", 60, 30), (60, 30)), (pictures.scatter(df, "x", "y", 50, 40), (50, 40)), (pictures.heat(df, "x", "y", "v", 2), (22, 12))):
+        assert data[:8] == b"\x89PNG\r\n\x1a\n" and struct.unpack(">II", data[16:24]) == size
+        at = data.index(b"IDAT")
+        n = struct.unpack(">I", data[at - 4 : at])[0]
+        assert len(zlib.decompress(data[at + 4 : at + 4 + n])) == size[1] * (3 * size[0] + 1)
+    page = pictures.html_map({"one": df, "none": df.where("false")})
+    assert page.count("<circle") == 2 and "a&lt;b" in page and page.count("checkbox") == 2
+    path = str(tmp_path / "t.gpkg")
+    assert pictures.write_geopackage(df, path, "stations") == 3 and pictures.write_geopackage(df.where("false"), path, "none") == 0
+    con = sqlite3.connect(path)
+    rows = con.execute("select geom, v, label from stations order by v").fetchall()
+    assert [r[1:] for r in rows] == [(1, "a<b"), (2, None), (3, "no place")] and rows[2][0] is None
+    assert rows[1][0][:4] == b"GP\x00\x01" and struct.unpack("<dd", rows[1][0][-16:]) == (10.0, 5.0)
+    assert con.execute("select table_name, min_x, max_y from gpkg_contents order by 1").fetchall() == [("none", None, None), ("stations", 0.0, 5.0)]
+    assert pictures.bars(df.where("false"), "v", "v")[:4] == b"\x89PNG" and pictures.scatter(df.where("false"), "x", "y")[:4] == b"\x89PNG"
+    old, pictures.MAX_ROWS = pictures.MAX_ROWS, 1
+    with pytest.raises(ValueError):
+        pictures.bars(df, "v", "v")
+    pictures.MAX_ROWS = old
+
+
+def test_services(spark):
+    from tessaro.session import worker_path
+    from tessaro.sources import services
+
+    worker_path(spark)
+
+    def ask(places):
+        if any(lat > 2 for lat, _ in places):
+            raise OSError("busy")
+        return [lat * 10 for lat, _ in places]
+
+    pts = spark.createDataFrame([(i, float(i), 0.0) for i in range(5)], "id int, lat double, lon double").coalesce(1)
+    got = {r["id"]: r["altitude"] for r in services.with_elevation(pts, ask, batch=2, tries=2, wait=0.0).collect()}
+    assert got == {0: 0.0, 1: 10.0, 2: None, 3: None, 4: None} and services.with_elevation(pts.where("false"), ask).count() == 0
+    el = spark.createDataFrame([(1, {"shop": "x"}, "p"), (2, {"shop": "y", "office": "z"}, "p"), (3, None, "p"), (4, {"office": "z"}, "q")], "id int, tags map<string,string>, place string")
+    assert {r["id"] for r in services.features_by_tags(el, {"shop": ["x"], "office": True}, "p").collect()} == {1, 2}
+    assert {r["id"] for r in services.features_by_tags(el, {"office": True}).collect()} == {2, 4} and services.features_by_tags(el, {}).count() == 0
+    want = {"s1": {"population": 0.4, "pois": 0.6}, "s2": {"lines": 1.0}}
+    assert services.read_scenarios("# weights\nall:\n  s1: # demand\n    population: 0.4\n    pois: 0.6\n\n  s2:\n    lines: 1\n") == want
+    assert services.read_scenarios('{"weight_combinations": {"s1": {"population": 0.4, "pois": 0.6}, "s2": {"lines": 1}}}') == want
+    with pytest.raises(ValueError):
+        services.read_scenarios("x: 1")
