@@ -16,14 +16,15 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import materialise
 from .tables import crc_mod, pick
 
 #: Labelled rows of each label that the model is fitted on, at most.
@@ -129,33 +130,39 @@ class Automaton:
         return found
 
 
-def learn_lexicon(docs: list[tuple[list[str], int]]) -> tuple[list[str], list[str]]:
-    """(terms, stems) of (tokens, label) pairs."""
-    total = [sum(y == k for _, y in docs) for k in (0, 1)]
-    least = max(4, total[1] // 50)
-    df = [Counter(), Counter()]
-    heads = [Counter(), Counter()]
-    tails: dict[str, set] = defaultdict(set)
-    for tokens, y in docs:
-        own = {t for t in tokens if len(t) >= 3}
-        df[y].update(own)
-        pre = {t[:k] for t in own for k in STEM_LENGTHS if len(t) > k}
-        heads[y].update(pre)
-
-    def odds(n1: int, n0: int) -> float:
-        return ((n1 + 0.5) / (total[1] + 1)) / ((n0 + 0.5) / (total[0] + 1))
-
-    terms = sorted(t for t, n in df[1].items() if n >= least and odds(n, df[0][t]) >= 10)
-    good = {s for s, n in heads[1].items() if n >= least and odds(n, heads[0][s]) >= 20}
-    for t in df[1]:
-        for k in STEM_LENGTHS:
-            if t[:k] in good and len(t) > k:
-                tails[t[:k]].add(t)
-    stems = []
-    for s in sorted(good, key=lambda s: (len(s), s)):
-        if len(tails[s]) >= 5 and not any(s.startswith(x) for x in stems):
+Rows = Iterable[tuple[str | None, int]]
+
+
+def tokens_of(text: str | None) -> list[str]:
+    return WORD.findall((text or "").lower())
+
+
+def count_terms(rows: Rows) -> Counter:
+    """(kind, term, label) -> documents: kind ``term`` for tokens, ``head`` for what longer tokens begin with, ``all`` for documents."""
+    out: Counter = Counter()
+    for text, y in rows:
+        own = {t for t in tokens_of(text) if len(t) >= 3}
+        out.update(("term", t, y) for t in own)
+        out.update(("head", h, y) for h in {t[:k] for t in own for k in STEM_LENGTHS if len(t) > k})
+        out["all", "", y] += 1
+    return out
+
+
+def odds(n1: float, n0: float, total: tuple[int, int]) -> float:
+    return ((n1 + 0.5) / (total[1] + 1)) / ((n0 + 0.5) / (total[0] + 1))
+
+
+def least_documents(total: tuple[int, int]) -> int:
+    return max(4, total[1] // 50)
+
+
+def learn_lexicon(terms: Iterable[str], heads: dict[str, int]) -> tuple[list[str], list[str]]:
+    """(terms, stems) of frequent terms, and of frequent heads with the number of their continuations."""
+    stems: list[str] = []
+    for s in sorted(heads, key=lambda s: (len(s), s)):
+        if heads[s] >= 5 and not any(s.startswith(x) for x in stems):
             stems.append(s)
-    return [t for t in terms if not any(t.startswith(s) for s in stems)], stems
+    return sorted(t for t in terms if not any(t.startswith(s) for s in stems)), stems
 
 
 class Model:
@@ -229,38 +236,89 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int =
     return w
 
 
-def fit(rows: list[tuple[str, int]]) -> Model:
-    """A model of (text, label) rows; without both labels it scores everything 0."""
-    pool: dict[str, str] = {}  # each word is held once
-    docs = [([pool.setdefault(w, w) for w in WORD.findall((t or "").lower())], y) for t, y in rows]
-    if len({y for _, y in docs}) < 2:
-        model = Model([], [])
-        model.weights[0] = -30.0
-        return model
-    model = Model(*learn_lexicon(docs))
-    total = [sum(y == k for _, y in docs) for k in (0, 1)]
-    seen = [Counter(), Counter()]
-    around = [Counter(), Counter()]
-    for tokens, y in docs:
+def count_hits(model: Model, rows: Rows) -> Counter:
+    """(kind, term, edits, label) -> number: ``hit`` by documents, ``near`` (words around hits) by hits."""
+    out: Counter = Counter()
+    for text, y in rows:
+        tokens = tokens_of(text)
         hits = model.hits(tokens)
-        seen[y].update({m for _, m in hits})
+        out.update(("hit", *m, y) for m in {m for _, m in hits})
         for i, _ in hits:
-            around[y].update(set(tokens[max(0, i - CONTEXT) : i] + tokens[i + 1 : i + 1 + CONTEXT]))
-    for m in seen[0].keys() | seen[1].keys():
-        model.hit[m] = max(0.0, math.log(((seen[1][m] + 0.5) / (total[1] + 1)) / ((seen[0][m] + 0.5) / (total[0] + 1))))
-    n = [sum(c.values()) + 1 for c in around]
-    for t in around[0].keys() | around[1].keys():
-        if around[0][t] + around[1][t] >= 20 and min(n) > 200:
-            model.context[t] = math.log(((around[1][t] + 1) / n[1]) / ((around[0][t] + 1) / n[0]))
+            out.update(("near", t, 0, y) for t in set(tokens[max(0, i - CONTEXT) : i] + tokens[i + 1 : i + 1 + CONTEXT]))
+    return out
+
+
+def weigh(model: Model, hits: dict[tuple[str, int], tuple[int, int]], near: dict[str, tuple[int, int]], n: tuple[int, int], total: tuple[int, int]) -> None:
+    """Sets the weights of hits and of context words; (label 0, label 1) counts, ``n`` all context words of each label."""
+    for m, (n0, n1) in hits.items():
+        model.hit[m] = max(0.0, math.log(odds(n1, n0, total)))
+    for t, (n0, n1) in near.items():
+        if n0 + n1 >= 20 and min(n) > 200:
+            model.context[t] = math.log(((n1 + 1) / n[1]) / ((n0 + 1) / n[0]))
+
+
+def blank() -> Model:
+    """Scores everything 0."""
+    model = Model([], [])
+    model.weights[0] = -30.0
+    return model
+
+
+def _by_label(counts: dict[tuple, int], kind: str) -> dict:
+    out: dict = {}
+    for (k, *key, y), n in counts.items():
+        if k == kind:
+            both = out.setdefault(tuple(key), [0, 0])
+            both[y] += n
+    return out
+
+
+def fit(rows: list[tuple[str | None, int]]) -> Model:
+    """A model of (text, label) rows in memory; :func:`train` does the same in tasks. Without both labels it scores everything 0."""
+    counts = count_terms(rows)
+    total = (counts["all", "", 0], counts["all", "", 1])
+    if 0 in total:
+        return blank()
+    least = least_documents(total)
+    terms = [t for (t,), (n0, n1) in _by_label(counts, "term").items() if n1 >= least and odds(n1, n0, total) >= 10]
+    good = {h for (h,), (n0, n1) in _by_label(counts, "head").items() if n1 >= least and odds(n1, n0, total) >= 20}
+    tails = Counter(h for k, t, y in counts if k == "term" and y == 1 for h in {t[:i] for i in STEM_LENGTHS if len(t) > i} & good)
+    model = Model(*learn_lexicon(terms, tails))
+    seen = count_hits(model, rows)
+    near = {t: tuple(n) for (t, _), n in _by_label(seen, "near").items()}
+    n = tuple(sum(v[k] for v in near.values()) + 1 for k in (0, 1))
+    weigh(model, {m: tuple(v) for m, v in _by_label(seen, "hit").items()}, near, n, total)
     x = np.array([model.features(t or "")[0] for t, _ in rows])
     model.weights = fit_logistic(x, np.array([y for _, y in rows], float))
     return model
 
 
+def _counted(rows: DataFrame, count, kinds: str) -> DataFrame:
+    """The sums of the counts that ``count`` takes of (text, y) rows, by their keys as columns."""
+    names = [x.split()[0] for x in kinds.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = count(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            cols = list(zip(*((*k, n) for k, n in found.items()))) or [[]] * (len(names) + 1)
+            types = [pa.string() if x.endswith("string") else pa.int32() for x in kinds.split(", ")]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, types)), pa.array(cols[-1], pa.int64())], names=[*names, "n"])
+
+    return rows.select("text", "y").mapInArrow(run, f"{kinds}, n long").groupBy(*names).agg(F.sum("n").alias("n"))
+
+
+def _pairs(counts: DataFrame, *keys: str) -> DataFrame:
+    """keys, n0, n1: the counts of both labels side by side."""
+    at = lambda k: F.sum(F.when(F.col("y") == k, F.col("n")).otherwise(0))
+    return counts.groupBy(*keys).agg(at(0).alias("n0"), at(1).alias("n1"))
+
+
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", train_rows: int = TRAIN_ROWS, holdout: int = 5) -> Model:
     """Fit on labelled rows whose crc32(doc_id) mod ``holdout`` is not 0, at most ``train_rows`` of each label.
 
-    The rows are those with the smallest hashes, the same at every run.
+    The rows are those with the smallest hashes, the same at every run. Texts stay
+    in the tasks; the driver gets the terms and context words that count, and six
+    numbers per row.
     """
     known = pick(labels, doc_id="doc_id", y=label_col).where("doc_id is not null and y is not null").where(crc_mod(F.col("doc_id"), holdout) != 0)
     known = known.groupBy("doc_id").agg(F.max(F.col("y").cast("int")).alias("y"))
@@ -269,9 +327,40 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", train_ro
         part = known.where(F.col("y") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
         chosen = part if chosen is None else chosen.unionByName(part)
     # At most 2 * train_rows ids.
-    rows = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y")).collect()
-    rows.sort(key=lambda r: r["doc_id"])
-    return fit([(r["text"], r["y"]) for r in rows])
+    rows = materialise(docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y")), "training")
+    found = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+    total = (found.get(0, 0), found.get(1, 0))
+    if 0 in total:
+        return blank()
+
+    counts = materialise(_counted(rows, count_terms, "kind string, term string, y int"), "terms")
+    ratio = ((F.col("n1") + 0.5) / (total[1] + 1)) / ((F.col("n0") + 0.5) / (total[0] + 1))
+    both = _pairs(counts, "kind", "term").where(F.col("n1") >= least_documents(total))
+    terms = [r["term"] for r in both.where((F.col("kind") == "term") & (ratio >= 10)).collect()]
+    good = both.where((F.col("kind") == "head") & (ratio >= 20)).select(F.col("term").alias("head"))
+    longer = counts.where("kind = 'term' and y = 1").select(F.explode(F.array(*[F.when(F.length("term") > k, F.substring("term", 1, k)) for k in STEM_LENGTHS])).alias("head"))
+    tails = {r["head"]: r["count"] for r in longer.join(good, "head").groupBy("head").count().collect()}
+
+    model = Model(*learn_lexicon(terms, tails))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    seen = materialise(_counted(rows, lambda r: count_hits(shared.value, r), "kind string, term string, edits int, y int"), "hits")
+    hits = {(r["term"], r["edits"]): (r["n0"], r["n1"]) for r in _pairs(seen.where("kind = 'hit'"), "term", "edits").collect()}
+    words = _pairs(seen.where("kind = 'near'"), "term")
+    n = words.agg(F.coalesce(F.sum("n0"), F.lit(0)) + 1, F.coalesce(F.sum("n1"), F.lit(0)) + 1).first()
+    near = {r["term"]: (r["n0"], r["n1"]) for r in words.where("n0 + n1 >= 20").collect()}
+    weigh(model, hits, near, tuple(n), total)
+
+    weighed = docs.sparkSession.sparkContext.broadcast(model)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = [weighed.value.features(t or "")[0] for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(x, pa.list_(pa.float64()))], names=["y", "x"])
+
+    got = sorted((r["y"], *r["x"]) for r in rows.select("text", "y").mapInArrow(measure, "y int, x array<double>").collect())
+    table = np.array(got, float)
+    model.weights = fit_logistic(table[:, 1:], table[:, 0])
+    return model
 
 
 def score_documents(

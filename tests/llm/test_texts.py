@@ -154,6 +154,12 @@ def test_toxicity(spark, make):
     assert np.mean([got[r["doc_id"]]["predicted"] == r["toxic"] for r in rows if got[r["doc_id"]]["held_out"]]) > 0.9
     edge = toxicity.score_documents(make(EDGE), labels).collect()
     assert len(edge) == len(EDGE) and all(0 <= r["score"] <= 1 for r in edge)
+    # The model of the tasks is the one of a loop over the same rows.
+    texts = {r[0]: r[1] for r in docs.select("doc_id", "text").collect()}
+    known = [(texts[r["doc_id"]], r["toxic"]) for r in rows if r["toxic"] is not None and r["doc_id"] in texts and zlib.crc32(str(r["doc_id"]).encode()) % 5]
+    one, two = toxicity.train(docs, labels), toxicity.fit(known)
+    assert (one.terms, one.stems, one.hit, one.context) == (two.terms, two.stems, two.hit, two.context) and one.terms
+    assert np.allclose(one.weights, two.weights)
     none = toxicity.score_documents(make(EDGE), labels.where("false")).collect()
     assert {r["predicted"] for r in none} == {0}
     assert toxicity.score_documents(make(EDGE).where("false"), labels).count() == 0
