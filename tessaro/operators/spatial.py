@@ -70,6 +70,33 @@ def nearest(points: DataFrame, features: DataFrame, size: float, exclude_self: b
     return points.select("id").join(found, "id", "left")
 
 
+def nearest_segment(points: DataFrame, segments: DataFrame, size: float) -> DataFrame:
+    """(id, dist) to the nearest segment (x1, y1, x2, y2); null without segments.
+
+    Rounds of growing radius like :func:`nearest`; a segment stands under the cells of its box grown by the
+    radius, and each round's cells are as large as its radius.
+    """
+    box = segments.agg(*[f(F.least(a, b) if f is F.min else F.greatest(a, b)) for a, b in (("x1", "x2"), ("y1", "y2")) for f in (F.min, F.max)]).first()
+    own = points.agg(*[f(c) for c in ("x", "y") for f in (F.min, F.max)]).first()
+    if box[0] is None or own[0] is None:
+        return points.select("id", F.lit(None).cast("double").alias("dist"))
+    span = max(max(own[1], box[1]) - min(own[0], box[0]), max(own[3], box[3]) - min(own[2], box[2])) * 1.5 + size
+    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
+    boxed = segments.select("x1", "y1", "x2", "y2", F.least(x1, x2).alias("minx"), F.least(y1, y2).alias("miny"), F.greatest(x1, x2).alias("maxx"), F.greatest(y1, y2).alias("maxy"))
+    rest, found, r = points.select("id", "x", "y"), None, float(size)
+    while True:
+        p = rest.withColumn("cx", _cell(F.col("x"), r)).withColumn("cy", _cell(F.col("y"), r))
+        met = p.join(boxes_on_grid(boxed, r, r), ["cx", "cy"]).withColumn("dist", geo.point_segment_distance(F.col("x"), F.col("y"), x1, y1, x2, y2))
+        best = met.where(F.col("dist") <= r).groupBy("id").agg(F.min("dist").alias("dist"))
+        got = rest.join(best, "id", "left").checkpoint()
+        done = got.where("dist is not null").select("id", "dist")
+        found = done if found is None else found.unionByName(done)
+        rest = got.where("dist is null").select("id", "x", "y")
+        if r > span or rest.isEmpty():
+            return points.select("id").join(found, "id", "left")
+        r *= 3
+
+
 def line_length_within(points: DataFrame, segments: DataFrame, radius: float, cell: float | None = None) -> DataFrame:
     """(id, length, any_line): length of the segments (x1, y1, x2, y2) inside each point's circle.
 

@@ -15,7 +15,7 @@ from .catalogue import POI, _EDGES, fx, lane_sql, poi_flags, query, street_edges
 # ---------------------------------------------------------------- station master
 
 #: The preferred first columns of the station master.
-MASTER_FIRST = ("id census_section neighborhood bus_count_300m bus_unique_lines_300m bus_nearest_m metro_count_500m metro_unique_lines_500m metro_nearest_m poi_count_300m bike_lane_len_300m mean_altitude_150m mean_slope_150m").split()
+MASTER_FIRST = ("id census_section neighborhood bus_count_300m bus_unique_lines_300m bus_nearest_m metro_count_500m metro_unique_lines_500m metro_nearest_m poi_count_300m bike_lane_len_300m bike_lane_nearest_m mean_altitude_150m mean_slope_150m").split()
 
 
 def buffer_block(stations: DataFrame, features: DataFrame, radius: float, prefix: str, lines: bool = True) -> DataFrame:
@@ -55,6 +55,7 @@ def station_master(stations: DataFrame, sections: DataFrame, hoods: DataFrame, s
         if lines:
             out = out.join(nearest_block(stations, features, prefix, radius), "id")
     out = out.join(spatial.line_length_within(stations, lanes, 300.0).select("id", F.col("length").alias("bike_lane_len_300m")), "id")
+    out = out.join(spatial.nearest_segment(stations, lanes, 300.0).withColumnRenamed("dist", "bike_lane_nearest_m"), "id")
     means = spatial.aggregate_within(stations, grid, 150.0, [F.avg("altitude").alias("mean_altitude_150m"), F.avg("slope").alias("mean_slope_150m")])
     return order_columns(out.join(means, "id"), MASTER_FIRST)
 
@@ -68,16 +69,23 @@ def _layer_sql(name: str, word: str, radius: int, lines: bool) -> str:
     return f"{name} as (select s.id, count(p.fid) as {name}_count_{radius}m{more} from {{stations}} s left join (select * from {{features}} where {where}) p on {_NEAR} <= {float(radius) ** 2} group by s.id)"
 
 
+def lane_near_sql(points: str) -> str:
+    """ln (id, d): the distance of each point to the nearest lane, over all pairs."""
+    t = "greatest(0, least(1, coalesce(((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / nullif((x2 - x1) ** 2 + (y2 - y1) ** 2, 0), 0)))"
+    return f"ln as (select id, min(sqrt((x1 + t * (x2 - x1) - x) ** 2 + (y1 + t * (y2 - y1) - y) ** 2)) as d from (select *, {t} as t from {points}, {sub('lanes')}) group by id)"
+
+
 _MASTER_SQL = f"""with z as (select id, zid from (select s.id, z.zid, row_number() over (partition by s.id order by case when x >= minx and x < maxx and y >= miny and y < maxy then -1.0 else greatest(minx - x, 0.0, x - maxx) ** 2 + greatest(miny - y, 0.0, y - maxy) ** 2 end, z.zid) as k from {{stations}} s, (select * from {{zones}} where v >= 30) z) where k = 1),
     inc as (select c_nationkey as zid, avg(c_acctbal) as income from customer group by 1), edu as (select s_nationkey as zid, avg(s_acctbal) as education from supplier group by 1),
     hood as (select n_regionkey as r, avg(n_nationkey) as unemployment_percentage from nation group by 1),
     {_layer_sql('bus', 'STANDARD', 300, True)}, {_layer_sql('metro', 'LARGE', 500, True)}, {_layer_sql('poi', '', 300, False)},
     nb as (select s.id, min(sqrt({_NEAR})) as d from {{stations}} s, {{features}} p where contains(category, 'STANDARD') group by s.id), nm as (select s.id, min(sqrt({_NEAR})) as d from {{stations}} s, {{features}} p where contains(category, 'LARGE') group by s.id),
+    {lane_near_sql('{stations}')},
     grid as (select s.id, avg(p.size) as a, avg(p.size * 2) as b from {{stations}} s left join {{features}} p on {_NEAR} <= 22500.0 group by s.id)
     select s.id, s.x, s.y, lpad(cast(z.zid as varchar), 10, '0') as census_section, r_name as neighborhood, round(income, 3) as income, round(education, 3) as education, round(unemployment_percentage, 3) as unemployment_percentage,
-    bus_count_300m, bus_unique_lines_300m, round(nb.d, 3) as bus_nearest_m, metro_count_500m, metro_unique_lines_500m, round(nm.d, 3) as metro_nearest_m, poi_count_300m, round(l.length, 3) as bike_lane_len_300m, round(a, 3) as mean_altitude_150m, round(b, 3) as mean_slope_150m
+    bus_count_300m, bus_unique_lines_300m, round(nb.d, 3) as bus_nearest_m, metro_count_500m, metro_unique_lines_500m, round(nm.d, 3) as metro_nearest_m, poi_count_300m, round(l.length, 3) as bike_lane_len_300m, round(ln.d, 3) as bike_lane_nearest_m, round(a, 3) as mean_altitude_150m, round(b, 3) as mean_slope_150m
     from {{stations}} s join z using (id) join nation on n_nationkey = zid join region on r_regionkey = n_regionkey left join inc on inc.zid = z.zid left join edu on edu.zid = z.zid left join hood on hood.r = n_regionkey
-    join bus using (id) join metro using (id) join poi using (id) left join nb using (id) left join nm using (id) join {lane_sql('{stations}', 300.0)} l using (id) join grid using (id)"""
+    join bus using (id) join metro using (id) join poi using (id) left join nb using (id) left join nm using (id) left join ln using (id) join {lane_sql('{stations}', 300.0)} l using (id) join grid using (id)"""
 
 
 @query("station_master", _MASTER_SQL)
@@ -97,7 +105,13 @@ def station_master_query(spark, d):
     grid = f.select("fid", "fx", "fy", F.col("size").cast("double").alias("altitude"), (F.col("size") * 2.0).alias("slope"))
     out = station_master(fx(spark, d, "stations"), sections, hoods, [income, education], unemployment, layers, fx(spark, d, "lanes"), grid, 2000.0)
     out = out.withColumn("census_section", text.normalize_section(F.col("census_section")))
-    return out.withColumns({c: F.round(c, 3) for c in ("income", "education", "unemployment_percentage", "bus_nearest_m", "metro_nearest_m", "bike_lane_len_300m", "mean_altitude_150m", "mean_slope_150m")})
+    return out.withColumns({c: F.round(c, 3) for c in ("income", "education", "unemployment_percentage", "bus_nearest_m", "metro_nearest_m", "bike_lane_len_300m", "bike_lane_nearest_m", "mean_altitude_150m", "mean_slope_150m")})
+
+
+@query("nearest_lane", f"with {lane_near_sql('{stations}')} select id, round(d, 4) as dist from ln")
+def nearest_lane(spark, d):
+    ensure_checkpoint(spark)
+    return spatial.nearest_segment(fx(spark, d, "stations"), fx(spark, d, "lanes"), 50.0).select("id", F.round("dist", 4).alias("dist"))
 
 
 # ---------------------------------------------------------------- node attributes

@@ -595,14 +595,32 @@ def top_gaps(spark, d):
     return ranking.top(table(spark, d, "customer").select("c_custkey", F.col("c_acctbal").alias("v")), 25, [F.asc("v"), F.asc("c_custkey")])
 
 
-@query("summary_metrics", f"with r as (select quantity, price, {_MID.format(c='quantity')} as rq, {_MID.format(c='price')} as rp from {{lines}}) select 'pearson' as metric, round(corr(quantity, price), 6) as value from r union all select 'spearman', round(corr(rq, rp), 6) from r union all select 'mae', round(avg(abs(price - 1500 * quantity)), 2) from r union all select 'rmse', round(sqrt(avg((price - 1500 * quantity) ** 2)), 2) from r")
+_PRED = "quantity * 1500 + discount * 1000"
+
+
+@query(
+    "summary_metrics",
+    f"with p as (select *, {_PRED} as pred from {{lines}}), r as (select *, {_MID.format(c='quantity')} as rq, {_MID.format(c='price')} as rp, {_MID.format(c='pred')} as rr from p), "
+    "t as (select * from (values ('quantity', (select abs(corr(quantity, price)) from p)), ('discount', (select abs(corr(discount, price)) from p)), ('tax', (select abs(corr(tax, price)) from p))) t(f, v) order by v desc, f limit 1) "
+    "select 'score_vs_target_pearson' as metric, cast(round(corr(quantity, price), 4) as varchar) as value from r union all select 'score_vs_target_spearman', cast(round(corr(rq, rp), 4) as varchar) from r "
+    "union all select 'prediction_vs_target_pearson', cast(round(corr(pred, price), 4) as varchar) from r union all select 'prediction_vs_target_spearman', cast(round(corr(rr, rp), 4) as varchar) from r "
+    "union all select 'top_feature', f from t union all select 'top_feature_importance', cast(round(v, 4) as varchar) from t",
+)
 def summary_metrics(spark, d):
-    t = fx(spark, d, "lines").withColumn("pred", F.col("quantity") * 1500)
-    c = stats.correlation(t, "quantity", "price")
-    e = stats.errors(t, "price", "pred")
-    return c.select(F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.round(m, 6).alias("value")) for m in ("pearson", "spearman")]))).unionByName(
-        e.select(F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.round(m, 2).alias("value")) for m in ("mae", "rmse")])))
-    )
+    """Six names and values: how score and prediction go with the target, and the feature that goes with it most."""
+    t = fx(spark, d, "lines").withColumn("pred", F.expr(_PRED))
+    said = lambda c: F.round(c, 4).cast("string")
+    rows = [stats.correlation(t, c, "price").select(F.inline(F.array(*[F.struct(F.lit(f"{n}_vs_target_{m}").alias("metric"), said(m).alias("value")) for m in ("pearson", "spearman")]))) for n, c in (("score", "quantity"), ("prediction", "pred"))]
+    each = F.array(*[F.struct(F.abs(F.corr(c, "price")).alias("v"), F.lit(c).alias("f")) for c in ("quantity", "discount", "tax")])
+    top = t.agg(F.array_max(each).alias("t")).select(F.inline(F.array(F.struct(F.lit("top_feature").alias("metric"), F.col("t.f").alias("value")), F.struct(F.lit("top_feature_importance").alias("metric"), said("t.v").alias("value")))))
+    return rows[0].unionByName(rows[1]).unionByName(top)
+
+
+@query("normalize_nodes", "select c_custkey, round((a - min(a) over ()) / (max(a) over () - min(a) over ()), 2) as a, round(1 - b / max(b) over (), 2) as b, round((ln(1 + c) - min(ln(1 + c)) over ()) / (max(ln(1 + c)) over () - min(ln(1 + c)) over ()), 2) as c from (select c_custkey, cast(c_acctbal as double) as a, cast(c_nationkey + 1 as double) as b, cast(c_custkey as double) as c from customer)")
+def normalize_nodes(spark, d):
+    """Each column by its own method."""
+    c = table(spark, d, "customer").select("c_custkey", F.col("c_acctbal").cast("double").alias("a"), (F.col("c_nationkey") + 1).cast("double").alias("b"), F.col("c_custkey").cast("double").alias("c"))
+    return normalize.normalize_columns(c, {"a": "minmax", "b": "inverted_0-max", "c": "log"})
 
 
 @query("error_metrics", "select cast(k % 5 as integer) as fold, count(*) as n, round(avg(abs(price - 1500 * quantity)), 2) as mae, round(sqrt(avg((price - 1500 * quantity) ** 2)), 2) as rmse from {lines} group by 1")
@@ -996,6 +1014,17 @@ def centralities(spark, d):
     return graph.centralities(fx(spark, d, "gnodes").select("node"), street_edges(spark, d))
 
 
+@query("synthetic_demand", None)
+def synthetic_demand(spark, d):
+    """Node scores of four strategies: uniform by hash, near the centre, far from it, plateaus of communities."""
+    n = fx(spark, d, "gnodes").select("node", (F.col("node") % 5).cast("double").alias("x"), F.floor(F.col("node") / 5).cast("double").alias("y"))
+    b = n.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    near, far = geo.centrality_scores(F.col("x"), F.col("y"), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
+    uniform = F.pmod(F.xxhash64("node", F.lit("uniform")), F.lit(1_000_003)) / 1_000_002.0
+    out = n.join(F.broadcast(b)).select("node", uniform.alias("uniform"), near.alias("distance"), far.alias("inverse"))
+    return out.join(graph.communities(fx(spark, d, "gnodes"), street_edges(spark, d)).select("node", F.col("plateau").alias("community")), "node")
+
+
 @query("communities", None)
 def communities(spark, d):
     return graph.communities(fx(spark, d, "gnodes"), street_edges(spark, d))

@@ -60,6 +60,15 @@ def test_sampled_paths_equal_floyd_warshall(spark):
     assert got == {(a, b): d[a, b] for a in few for b in few if np.isfinite(d[a, b])}
 
 
+def test_synthetic_demand(spark):
+    rows = {r["node"]: r for r in QUERIES["synthetic_demand"](spark, SF).collect()}
+    plateau = {r["node"]: r["plateau"] for r in QUERIES["communities"](spark, SF).collect()}
+    assert len(rows) == 25 and len({r["uniform"] for r in rows.values()}) == 25
+    for n, r in rows.items():
+        d = np.hypot(n % 5 - 2, n // 5 - 2) / np.hypot(2, 2)
+        assert r["distance"] == pytest.approx(1 - d) and r["inverse"] == pytest.approx(d) and r["community"] == plateau[n] and 0 <= r["uniform"] <= 1
+
+
 def partitions(items):
     if not items:
         yield []

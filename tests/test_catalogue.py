@@ -51,7 +51,7 @@ def test_poi_entropy_counts_every_category(spark, tmp_path):
 
 def test_every_query_has_a_twin_or_a_test():
     """Queries without SQL are tested against plain loops in test_builds.py; the list is complete."""
-    tested = "alpha_screening censored_impute centralities circle_weighted_mean communities dimension_means feature_ablation ga_grid_search ga_run kmeans_nodes metric_bounds model_comparison normalize_boxcox out_of_fold population_random random_weights rf_importance sampled_paths variable_ranking vif_many"
+    tested = "alpha_screening censored_impute centralities circle_weighted_mean communities dimension_means feature_ablation ga_grid_search ga_run kmeans_nodes metric_bounds model_comparison normalize_boxcox out_of_fold population_random random_weights rf_importance sampled_paths synthetic_demand variable_ranking vif_many"
     assert set(QUERIES) - set(ORACLE_SQL) == set(tested.split())
 
 
