@@ -283,15 +283,15 @@ def test_transit_edges(spark):
     kind = "type string, id bigint, lat double, lon double, tags map<string,string>, members array<struct<type:string,ref:bigint,role:string>>"
     rows = [
         ("node", 1, 1.0, 1.0, {"highway": "bus_stop", "route_ref": " H1  7 ", "name": "a"}, None), ("node", 2, 2.0, 2.0, {"highway": "bus_stop"}, None), ("node", 3, 3.0, 3.0, None, None),
-        ("node", 4, 4.0, 4.0, {"name": "Clot (L2)"}, None), ("node", 5, 5.0, 5.0, {"railway": "subway_entrance", "name": "door"}, None),
-        ("relation", 9, None, None, {"route": "subway", "ref": "X"}, [("node", 4, "s"), ("way", 4, "s"), ("node", 3, "s")]), ("relation", 10, None, None, {"name": "Sagrera Metro (Metro)"}, [("node", 5, "e")]), ("relation", 11, None, None, None, None),
+        ("node", 4, 4.0, 4.0, {"name": "Mill (L2)"}, None), ("node", 5, 5.0, 5.0, {"railway": "subway_entrance", "name": "door"}, None),
+        ("relation", 9, None, None, {"route": "subway", "ref": "X"}, [("node", 4, "s"), ("way", 4, "s"), ("node", 3, "s")]), ("relation", 10, None, None, {"name": "Harbour Metro (Metro)"}, [("node", 5, "e")]), ("relation", 11, None, None, None, None),
     ]
     el = spark.createDataFrame(rows, kind)
     assert sorted((r["stop_id"], r["line"]) for r in transit.bus_stops(el).fillna({"line": "-"}).collect()) == [(1, "7"), (1, "H1"), (2, "-")]
     stops = transit.route_stops(el, ["subway"], {"X": "L2"})
-    assert [tuple(r) for r in stops.select("line_id", "line", "stop_name").collect()] == [(9, "L2", "Clot (L2)")]
+    assert [tuple(r) for r in stops.select("line_id", "line", "stop_name").collect()] == [(9, "L2", "Mill (L2)")]
     out = transit.merge_entrances(stops, transit.entrances(el)).collect()
-    assert sorted((r["stop_name"], r["entrance_name"], r["line"], r["entrance_id"], r["lat"]) for r in out) == [("Clot", "Clot", ["L2"], None, 4.0), ("Sagrera", "door", ["Metro"], 5, 5.0)]
+    assert sorted((r["stop_name"], r["entrance_name"], r["line"], r["entrance_id"], r["lat"]) for r in out) == [("Mill", "Mill", ["L2"], None, 4.0), ("Harbour", "door", ["Metro"], 5, 5.0)]
     assert transit.merge_entrances(stops.where("false"), transit.entrances(el.where("false"))).count() == 0
 
 
