@@ -291,7 +291,7 @@ def test_transit_edges(spark):
     stops = transit.route_stops(el, ["subway"], {"X": "L2"})
     assert [tuple(r) for r in stops.select("line_id", "line", "stop_name").collect()] == [(9, "L2", "Mill (L2)")]
     out = transit.merge_entrances(stops, transit.entrances(el)).collect()
-    assert sorted((r["stop_name"], r["entrance_name"], r["line"], r["entrance_id"], r["lat"]) for r in out) == [("Mill", "Mill", ["L2"], None, 4.0), ("Harbour", "door", ["Metro"], 5, 5.0)]
+    assert sorted((r["stop_name"], r["entrance_name"], r["line"], r["entrance_id"], r["lat"]) for r in out) == [("Harbour", "door", ["Metro"], 5, 5.0), ("Mill", "Mill", ["L2"], None, 4.0)]
     assert transit.merge_entrances(stops.where("false"), transit.entrances(el.where("false"))).count() == 0
 
 
