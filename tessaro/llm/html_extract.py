@@ -183,19 +183,28 @@ def _place(nodes: list[Node], blocks: list[Block]) -> None:
     heads = [n for n in nodes if n.name == "h1" and not rough[id(n)]]
     if best and heads and all(n.article is None for n in heads):  # the articles may be teasers of others
         free = sum(b.words for b in blocks if b.node.article is None and b.node.name in PROSE and not rough[id(b.node)])
-        best = best if 2 * best.words >= free else None
+        second = max((n.words for n in articles if n is not best and not n.nested), default=0)
+        best = best if 2 * second <= best.words and 2 * best.words >= free else None
     mains = [n for n in nodes if n.name == "main" and not rough[id(n)]]
+    box = None if best or mains or not heads else heads[0].parent
+    while box is not None and box.name in ("header", "hgroup"):
+        box = box.parent
+    if box is nodes[0] or (box is not None and 2 * box.words < sum(b.words for b in blocks if b.node.name in PROSE and not rough[id(b.node)])):
+        box = None  # the heading stands apart from what it is the heading of
     for n in ([best] if best else mains[:1] or heads[:1]) + mains[:1]:
         while n is not None and not n.holds:
             n.holds = True
             n = n.parent
-    early = True
-    for b in blocks:
-        if b.words and b.node.name in PROSE and not rough[id(b.node)]:
-            early = False
+    if not (best or mains or heads):  # what holds nearly all of the page holds the article
+        for n in nodes:
+            n.holds = n.words >= 0.8 * nodes[0].words
+    texts = [not rough[id(b.node)] and bool(b.words) and (b.node.name in PROSE or (b.words >= LONG and 2 * b.links < b.words)) for b in blocks]
+    early = any(texts)
+    for b, is_text in zip(blocks, texts):
+        early = early and not is_text
         b.early = early
     often = Counter((n.name, n.classes) for n in nodes if n.classes)
-    nodes[0].features = frozenset(["outside article"] * bool(best) + ["outside main"] * bool(mains))
+    nodes[0].features = frozenset(["outside article"] * bool(best) + ["outside main"] * bool(mains) + ["outside heading's element"] * bool(box))
     for n in nodes[1:]:
         own = set()
         if n.hidden:
@@ -215,6 +224,7 @@ def _place(nodes: list[Node], blocks: list[Block]) -> None:
                 own.add("repeated")
         gone = {"outside article"} if n.article is not None and n.article is best else set()
         gone |= {"outside main"} if n.name == "main" else set()
+        gone |= {"outside heading's element"} if n is box else set()
         n.features = n.parent.features if own <= n.parent.features and not gone & n.parent.features else (n.parent.features | own) - gone
 
 
@@ -229,6 +239,8 @@ def shape(b: Block) -> list[float]:
     return [b.links / b.words, math.log1p(min(b.words, 60)), float(b.said[-1][-1] in ENDS), *map(float, kind), float(not any(kind)), float(b.early)]
 
 
+#: Words of a block that is text in whatever element it stands.
+LONG = 15
 PARAGRAPH = [math.log1p(30), 1.0, 0.0, 1.0, 0.0, 0.0, 0.0]
 
 
@@ -252,6 +264,18 @@ class Weights:
         return place + links + sum(w * x for w, x in zip(self.shapes[1:], own[1:])), place + links + sum(w * x for w, x in zip(self.shapes[1:], PARAGRAPH))
 
 
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float, steps: int) -> np.ndarray:
+    w = np.zeros(x.shape[1])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        h = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + ridge * np.eye(len(w))
+        step = np.clip(np.linalg.solve(h, x.T @ (p - y) + ridge * w), -5, 5)
+        w -= step
+        if np.abs(step).max() < 1e-9:
+            break
+    return w
+
+
 def fit_weights(pages: list[tuple[str, list[bool]]], ridge: float = 0.5, steps: int = 25) -> Weights:
     """A model of (html, whether each block with words is content) pages, by Newton steps."""
     rows, y, inside, outside = [], [], [0, 0], [0, 0]
@@ -270,43 +294,54 @@ def fit_weights(pages: list[tuple[str, list[bool]]], ridge: float = 0.5, steps:
         rows += full
         y += content
     names = sorted(f for f, k in seen.items() if k >= LEAST_PAGES)
-    index = {f: i + 1 + len(SHAPES) for i, f in enumerate(names)}
-    x = np.zeros((len(rows), 1 + len(SHAPES) + len(names)))
+    k = 1 + len(SHAPES)
+    index = {f: i + k for i, f in enumerate(names)}
+    x = np.zeros((len(rows), k + len(names)))
     x[:, 0] = 1
     for i, b in enumerate(rows):
-        x[i, 1 : 1 + len(SHAPES)] = shape(b)
+        x[i, 1:k] = shape(b)
         x[i, [index[f] for f in b.node.features if f in index]] = 1
-    target, w = np.array(y, float), np.zeros(x.shape[1])
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + ridge * np.eye(len(w))
-        w -= np.clip(np.linalg.solve(h, x.T @ (p - target) + ridge * w), -5, 5)
+    target = np.array(y, float)
+    w = _logistic(x, target, ridge, steps)
+    # Class words only tell against a block: what stands in a container of good name is judged by itself.
+    stay = [i for i, f in enumerate(names) if not (f[0] == "." and w[k + i] > 0)]
+    names = [names[i] for i in stay]
+    w = _logistic(x[:, [*range(k), *(k + i for i in stay)]], target, ridge, steps)
     # Tags are denser outside of content than inside; the log of that is what a tag costs.
     tag = math.log(((inside[0] + 1) / (inside[1] + 1)) / ((outside[0] + 1) / (outside[1] + 1))) / 10
-    k = 1 + len(SHAPES)
     return Weights(dict(zip(names, w[k:].tolist())), w[1:k].tolist(), float(w[0]), min(-0.02, max(-0.3, tag)))
 
 
-#: A block that is no content costs the run as much as so many words at most.
+#: A block that is no content costs the run as much as so many words at most; so do all blocks together that are left out between two others.
 MOST_LOST = 6
+#: What tells that a block is not in the element of the article.
+OUTSIDE = frozenset(("outside article", "outside main", "outside heading's element"))
 
 
 def main_text(page: str, weights: Weights) -> str:
     """The blocks of the best run of tokens, joined by two line ends."""
     best, total, start, span = 0.0, 0.0, 0, (0, 0)
+    lost = 0
     blocks = blocks_of(page)
     keep = [False] * len(blocks)
+    apart = any(b.node.features & OUTSIDE for b in blocks)  # the article's element is known
     for i, b in enumerate(blocks):
         if total <= 0:
             total, start = 0.0, i
+        odds, as_paragraph = weights.odds(b) if b.words else (0.0, 0.0)
+        keep[i] = as_paragraph > 0
+        if apart and b.words and not keep[i] and not b.node.features & OUTSIDE:
+            continue  # an insertion in the article ends nothing
         total += weights.tag * b.tags
         if b.words:
-            odds, as_paragraph = weights.odds(b)
             score = math.tanh(odds / 2)
-            keep[i] = as_paragraph > 0
-            if not keep[i]:
-                score = min(score, -0.1)
-            total += score * (b.words if score > 0 else min(b.words, MOST_LOST))
+            if keep[i]:
+                lost = 0
+                total += score * (b.words if score > 0 else min(b.words, MOST_LOST))
+            else:
+                words = min(b.words, MOST_LOST - lost)
+                lost += words
+                total += min(score, -0.1) * words
         if total > best:
             best, span = total, (start, i + 1)
     return "\n\n".join(" ".join(b.said) for b, k in zip(blocks[span[0] : span[1]], keep[span[0] : span[1]]) if k)
@@ -326,11 +361,12 @@ CLASSES = {
 }
 
 
-def labelled_pages(n: int = 300, seed: int = 11) -> list[tuple[str, list[bool]]]:
+def labelled_pages(n: int = 1200, seed: int = 11) -> list[tuple[str, list[bool]]]:
     """Pages of many layouts: (html, whether each block with words is content).
 
     Half of the containers have class words of their kind, the others words that
-    mean nothing; a quarter of the articles stand in no element of that name.
+    mean nothing; a quarter of the articles stand in no element of that name, a
+    tenth have no heading, and some stand in the cell of a table.
     """
     rng = random.Random(seed)
 
@@ -367,7 +403,7 @@ def labelled_pages(n: int = 300, seed: int = 11) -> list[tuple[str, list[bool]]]
                 tag("</li>" if list_ else "</div>")
             tag("</ul>" if list_ else "</div>")
 
-        plain = rng.random() < 0.12  # paragraphs are in elements of no meaning
+        plain = rng.choice(["div", "td"]) if rng.random() < 0.2 else ""  # paragraphs are in elements of no meaning
 
         def paragraphs(k: int, content: bool) -> None:
             for _ in range(k):
@@ -390,12 +426,12 @@ def labelled_pages(n: int = 300, seed: int = 11) -> list[tuple[str, list[bool]]]
                     text(say(rng.randint(1, 4)), content)
                     tag("</td></tr></table>")
                 else:
-                    tag("<div>" if plain else "<p>")
+                    tag({"": "<p>", "div": "<div>", "td": "<table><tr><td>"}[plain])
                     words = say(rng.choice([3, 8, 20, 40, 80]), rng.choice([".", ".", ".", "!", ""]))
                     if rng.random() < 0.25:
                         words += f" <a href='/y'>{say(rng.randint(1, 4))}</a>."
                     text(words, content)
-                    tag("</div>" if plain else "</p>")
+                    tag({"": "</p>", "div": "</div>", "td": "</td></tr></table>"}[plain])
 
         def aside(kind: str, inside: bool = False) -> None:
             element = rng.choice(["div", "div", "section", {"ad": "div", "aside": "aside", "notice": "div", "comment": "section", "form": "form"}[kind]])
@@ -443,9 +479,10 @@ def labelled_pages(n: int = 300, seed: int = 11) -> list[tuple[str, list[bool]]]
         element = rng.choice(["article", "article", "article", "div"]) if not main or rng.random() < 0.5 else ""
         tag(f"<{element}{attribute('content')}>" if element else "")
         head = rng.random() < 0.2
-        tag("<header><h1>" if head else "<h1>")
-        text(say(rng.randint(3, 12)), True)
-        tag("</h1></header>" if head else "</h1>")
+        if rng.random() < 0.9:
+            tag("<header><h1>" if head else "<h1>")
+            text(say(rng.randint(3, 12)), True)
+            tag("</h1></header>" if head else "</h1>")
         paragraphs(rng.randint(2, 7), True)
         for _ in range(rng.choice([0, 0, 1, 2])):
             aside(rng.choice(["ad", "aside", "notice"]), True)
