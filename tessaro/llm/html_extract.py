@@ -56,6 +56,10 @@ IN_HEAD = frozenset("title meta link base style script noscript template head ht
 OPEN_ENDED = {"p": BLOCKS, **{x: frozenset(y.split()) for x, y in {"li": "li", "dt": "dt dd", "dd": "dt dd", "option": "option", "td": "td th tr", "th": "td th tr", "tr": "tr"}.items()}}
 
 
+#: Letters that class words of the same beginning share: comments, commentlist.
+STEM = 6
+
+
 class Node:
     """An open or closed element of a page, as far as places need it."""
 
@@ -67,7 +71,8 @@ class Node:
         self.classes: tuple[str, ...] = ()
         if attributes and name in CONTAINERS:
             values = " ".join(m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes))
-            self.classes = tuple(sorted(set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", values).lower()))))
+            words = set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", values).lower()))
+            self.classes = tuple(sorted(words | {w[:STEM] + "~" for w in words if len(w) >= STEM}))
         inside = parent.article if parent else None
         self.nested = bool(parent and parent.nested) or (name == "article" and inside is not None)
         self.article = inside if inside is not None or name != "article" else self
@@ -181,10 +186,14 @@ def _place(nodes: list[Node], blocks: list[Block]) -> None:
     articles = [n for n in nodes if n.article is n and not rough[id(n)]]
     best = max(articles, key=lambda n: n.words, default=None)
     heads = [n for n in nodes if n.name == "h1" and not rough[id(n)]]
-    if best and heads and all(n.article is None for n in heads):  # the articles may be teasers of others
-        free = sum(b.words for b in blocks if b.node.article is None and b.node.name in PROSE and not rough[id(b.node)])
+    texts = [not rough[id(b.node)] and bool(b.words) and (b.node.name in PROSE or (b.words >= LONG and 2 * b.links < b.words)) for b in blocks]
+    if best and all(n.article is None for n in heads):  # the articles may be teasers of others
+        first = next((i for i, b in enumerate(blocks) if b.words and b.node.article is not None), len(blocks))
+        upto = len(blocks) if heads else first  # without a heading comments after an article say nothing
+        free = sum(b.words for b, is_text in zip(blocks[:upto], texts) if is_text and b.node.article is None)
         second = max((n.words for n in articles if n is not best and not n.nested), default=0)
-        best = best if 2 * second <= best.words and 2 * best.words >= free else None
+        alike = 2 * second > best.words and (bool(heads) or free >= best.words)
+        best = best if not alike and 2 * best.words >= free else None
     mains = [n for n in nodes if n.name == "main" and not rough[id(n)]]
     box = None if best or mains or not heads else heads[0].parent
     while box is not None and box.name in ("header", "hgroup"):
@@ -198,7 +207,6 @@ def _place(nodes: list[Node], blocks: list[Block]) -> None:
     if not (best or mains or heads):  # what holds nearly all of the page holds the article
         for n in nodes:
             n.holds = n.words >= 0.8 * nodes[0].words
-    texts = [not rough[id(b.node)] and bool(b.words) and (b.node.name in PROSE or (b.words >= LONG and 2 * b.links < b.words)) for b in blocks]
     early = any(texts)
     for b, is_text in zip(blocks, texts):
         early = early and not is_text
@@ -351,13 +359,13 @@ def main_text(page: str, weights: Weights) -> str:
 CLASSES = {
     "ad": "ad ads advert advertisement sponsor sponsored promo banner adsense",
     "nav": "nav navbar navigation menu breadcrumb breadcrumbs pagination pager toc tabs",
-    "aside": "sidebar aside related recommended widget share social rail trending popular tags",
+    "aside": "sidebar aside related recommended widget share social rail trending popular tags complementary",
     "comment": "comment comments reply replies respond disqus discussion responses",
-    "notice": "notice cookie consent gdpr newsletter subscribe popup modal overlay paywall disclaimer",
-    "footer": "footer copyright colophon legal",
+    "notice": "notice cookie consent gdpr newsletter subscribe popup modal overlay paywall disclaimer alert dialog",
+    "footer": "footer copyright colophon legal contentinfo",
     "header": "masthead topbar header logo",
     "form": "login search signup contact",
-    "content": "content post entry story article text body main page single",
+    "content": "content post entry story article text body main page single container responsive wrapper",
 }
 
 
@@ -366,7 +374,7 @@ def labelled_pages(n: int = 1200, seed: int = 11) -> list[tuple[str, list[bool]]
 
     Half of the containers have class words of their kind, the others words that
     mean nothing; a quarter of the articles stand in no element of that name, a
-    tenth have no heading, and some stand in the cell of a table.
+    fifth have no heading, and some stand in the cell of a table.
     """
     rng = random.Random(seed)
 
@@ -479,7 +487,7 @@ def labelled_pages(n: int = 1200, seed: int = 11) -> list[tuple[str, list[bool]]
         element = rng.choice(["article", "article", "article", "div"]) if not main or rng.random() < 0.5 else ""
         tag(f"<{element}{attribute('content')}>" if element else "")
         head = rng.random() < 0.2
-        if rng.random() < 0.9:
+        if rng.random() < 0.8:
             tag("<header><h1>" if head else "<h1>")
             text(say(rng.randint(3, 12)), True)
             tag("</h1></header>" if head else "</h1>")

@@ -330,6 +330,15 @@ def test_extraction_without_an_article_element():
     assert html_extract.main_text(f"<body><header><h1>Daily</h1></header><article><h2>Title</h2><p>{p}</p><p>{q}</p><p>{r}</p></article>{teasers}</body>", w).endswith(f"Title\n\n{p}\n\n{q}\n\n{r}")
 
 
+def test_extraction_knows_roles_and_beginnings_of_class_words():
+    w = html_extract.fit_weights(html_extract.labelled_pages())
+    p, q = (f"The {x} text of the page is this one and it goes on for a while." for x in ("first", "second"))
+    other = "Words that are not of the text, and as many as a paragraph has."
+    assert html_extract.main_text(f"<body><div class='container'><h1>Title</h1><p>{p}</p><p>{q}</p></div><div class='commentlist'><p>{other}</p></div><div class='footerlinks'><p>{other}</p></div></body>", w) == f"Title\n\n{p}\n\n{q}"
+    assert html_extract.main_text(f"<body><div role='main'><p>{p}</p><p>{q}</p></div><div role='complementary'><p>{other}</p></div><div role='contentinfo'><p>{other}</p></div></body>", w) == f"{p}\n\n{q}"
+    assert html_extract.main_text(f"<body><article><h1>Title</h1><div class='table-responsive'><table><tr><td>One</td><td>Two</td></tr></table></div><div class='container'><p>{p}</p></div></article></body>", w) == f"Title\n\nOne\n\nTwo\n\n{p}"
+
+
 def test_extraction_goes_on_after_insertions():
     w = html_extract.fit_weights(html_extract.labelled_pages())
     p = "The text of the page is this one and it goes on for a while."
