@@ -7,9 +7,10 @@ residual gap becomes smallest (Csirik, Johnson, Kenyon, Orlin, Shor, Weber:
 the Sum-of-Squares algorithm). That keeps all gaps about equally frequent, so
 that a fitting gap exists for whatever comes next.
 
-Scale: pieces are dealt at random to packers of about ``PER_PACKER`` pieces,
-whose number grows with the corpus, and each packer is one task. What a packer
-wastes is a few sequences at its end, whatever the size of the corpus.
+Scale: full pieces are sequences of their own and stay where they are. The
+others are dealt at random to packers of about ``PER_PACKER`` pieces, whose
+number grows with the corpus, and each packer is one task. What a packer wastes
+is about one sequence in 500, and less the more pieces it has.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 from .storage import materialise
 from .tables import pick
 
-#: Pieces that one packing task gets on average.
-PER_PACKER = 16_384
+#: Pieces shorter than a sequence that one packing task gets on average.
+PER_PACKER = 65_536
 
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -190,10 +191,11 @@ def pack(
     per piece. A null or empty text is the end id alone. Repeated rows and null
     ids are packed like any other row. An empty table gives no rows. Other
     columns of ``docs`` are not looked at. Lengths that tie are taken by doc_id,
-    piece and checksum.
+    piece and checksum. Sequences of one full piece have numbers below 0.
     """
     cut = materialise(pieces(pick(docs, doc_id=id_col, text=text_col), tokenizer, capacity, end_id), "pieces")
-    packers = max(1, -(-cut.count() // per_packer))
+    shorter = F.col("length") < capacity
+    packers = max(1, -(-cut.where(shorter).count() // per_packer))
 
     def place(rows: pa.Table) -> pa.Table:
         # Ids stay in Arrow: pandas would round longs beside a null.
@@ -203,8 +205,10 @@ def pack(
         rows = rows.drop_columns(["packer"])
         return rows.append_column("sequence_id", pa.array(sequence, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
 
-    dealt = cut.withColumn("packer", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(packers)))
+    dealt = cut.where(shorter).withColumn("packer", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(packers)))
     kind = cut.schema["doc_id"].dataType.simpleString()
-    return dealt.groupBy("packer").applyInArrow(
+    packed = dealt.groupBy("packer").applyInArrow(
         place, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     )
+    alone = cut.where(~shorter).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    return packed.unionByName(alone)
