@@ -11,6 +11,8 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import worker_path
+from . import forest
 from .schema import drop_all_null, numeric_columns
 from .stats import errors
 
@@ -68,12 +70,26 @@ def compare_models(df: DataFrame, key: str, features: list[str], target: str, mo
     return reduce(DataFrame.unionByName, rows).orderBy("cv_rmse_mean", "model")
 
 
+def forest_importances(data: DataFrame, features: list[str], target: str, seed: int = 42) -> list[float] | None:
+    """The random forest's importances with all its parameters, from trees grown in tasks; None where :mod:`forest` can't."""
+    est = MODELS["random_forest"](seed)
+    if est.getFeatureSubsetStrategy() not in ("auto", "onethird") or not est.getBootstrap() or est.getMinInfoGain() or est.getMinWeightFractionPerNode() or est.getNumTrees() < 2:
+        return None
+    filled = [f"_f_{c}" for c in features]
+    imputer = Imputer(strategy="median", relativeError=0.001, inputCols=features, outputCols=filled)
+    data = imputer.fit(data).transform(data).select(*filled, target)
+    worker_path(data.sparkSession)
+    return forest.importances(data, filled, target, est.getNumTrees(), est.getMaxDepth(), est.getMinInstancesPerNode(), est.getMaxBins(), est.getSubsamplingRate(), -(-len(features) // 3), seed)
+
+
 def importance(df: DataFrame, features: list[str], target: str, model: str, seed: int = 42) -> DataFrame:
     """(feature, importance, sign), the largest first: |coefficient| and its sign, or impurity."""
     data = df.where(F.col(target).isNotNull()).withColumns({c: F.col(c).cast("double") for c in [*features, target]})
-    last = pipeline(features, target, model, seed).fit(data).stages[-1]
-    w = last.coefficients.toArray() if hasattr(last, "coefficients") else last.featureImportances.toArray()
-    signed = hasattr(last, "coefficients")
+    signed, w = False, forest_importances(data, features, target, seed) if model == "random_forest" else None
+    if w is None:
+        last = pipeline(features, target, model, seed).fit(data).stages[-1]
+        signed = hasattr(last, "coefficients")
+        w = last.coefficients.toArray() if signed else last.featureImportances.toArray()
     rows = [(c, float(abs(v)), ("+" if v >= 0 else "-") if signed else None) for c, v in zip(features, w)]
     return df.sparkSession.createDataFrame(sorted(rows, key=lambda r: (-r[1], r[0])), "feature string, importance double, sign string")
 

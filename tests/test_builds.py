@@ -1,5 +1,6 @@
 """Queries that SQL can't express, and composite operators, against plain loops on small tables."""
 
+import time
 from itertools import combinations
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessaro.functions import text
-from tessaro.operators import graph, normalize, optimize, ranking, relational, spatial, stats, transit
+from tessaro.operators import forest, graph, ml, normalize, optimize, ranking, relational, spatial, stats, transit
 from tessaro.plans import builds, files_catalogue  # noqa: F401 - they register their queries
 from tessaro.plans.catalogue import QUERIES, _model_table, fx, street_edges
 from tessaro.session import ensure_checkpoint
@@ -356,3 +357,40 @@ def test_services(spark):
     assert services.read_scenarios('{"weight_combinations": {"s1": {"population": 0.4, "pois": 0.6}, "s2": {"lines": 1}}}') == want
     with pytest.raises(ValueError):
         services.read_scenarios("x: 1")
+
+
+def test_forest_importances_equal_mllib_and_end_in_time(spark):
+    data, names = _model_table(spark, SF), ["a", "b", "balance"]
+    got = ml.forest_importances(data, names, "target")
+    want = ml.pipeline(names, "target", "random_forest").fit(data).stages[-1].featureImportances.toArray()
+    assert np.allclose(got, want, atol=0.03) and got == ml.forest_importances(data, names, "target")
+    start = time.monotonic()  # 15,000 rows; pyspark.ml doesn't end in 100 s
+    rows = QUERIES["rf_importance"](spark, "/root/testdata/sf0.1").collect()
+    assert [r["feature"] for r in rows] == ["a", "balance", "b"] and time.monotonic() - start < 60
+
+
+def test_tree_equals_a_plain_loop():
+    rng = np.random.default_rng(3)
+    sizes = [4, 3, 5]
+    codes = [c.astype(np.int64) for c in np.unravel_index(np.arange(60), sizes)]
+    n, y = rng.poisson(1.5, 60).astype(float), rng.normal(size=60)
+    want = np.zeros(3)
+
+    def split(cells, depth):
+        best = (1e-9, None, None)
+        for f in range(3):
+            for cut in range(sizes[f] - 1):
+                left = cells[codes[f][cells] <= cut]
+                right = cells[codes[f][cells] > cut]
+                if min(n[left].sum(), n[right].sum()) < 3:
+                    continue
+                part = [(n[c] @ y[c]) ** 2 / n[c].sum() for c in (left, right, cells)]
+                if part[0] + part[1] - part[2] > best[0]:
+                    best = (part[0] + part[1] - part[2], f, (left, right))
+        if best[1] is not None and depth:
+            want[best[1]] += best[0]
+            for c in best[2]:
+                split(c, depth - 1)
+
+    split(np.arange(60), 30)
+    assert np.allclose(forest.grow(n, n * y, codes, sizes, 30, 3, 3, rng), want)
